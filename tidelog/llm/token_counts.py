@@ -38,10 +38,16 @@ def encoder(path: str = VOCABULARY) -> tuple[tiktoken.Encoding, np.ndarray]:
     return _encoders[path]
 
 
-def line_starts(data: bytes) -> np.ndarray:
-    """Sections are lines, each with the line feed that ends it: their first bytes."""
-    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A) + 1
-    return np.concatenate([[0], ends[ends < len(data)]])
+def sentence_starts(data: bytes) -> np.ndarray:
+    """First bytes of sections, which are sentences.
+
+    A section ends with a line feed, or with a blank after ``.``, ``!`` or ``?``.
+    """
+    a = np.frombuffer(data, np.uint8)
+    ends = a == 0x0A
+    ends[1:] |= (a[1:] == 0x20) & np.isin(a[:-1], (0x21, 0x2E, 0x3F))
+    at = np.flatnonzero(ends) + 1
+    return np.concatenate([[0], at[at < len(data)]])
 
 
 def attribute(lengths: np.ndarray, starts: np.ndarray, size: int, rule: str = "most") -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +63,16 @@ def attribute(lengths: np.ndarray, starts: np.ndarray, size: int, rule: str = "m
     count = np.bincount(a[a == b], minlength=len(starts)).astype(np.float64)
     crossing = np.zeros(len(starts), np.int64)
     limits = np.append(starts, size)
-    for t in np.flatnonzero(a != b).tolist():
+    two = np.flatnonzero(b == a + 1)
+    held = limits[a[two] + 1] - start[two]
+    np.add.at(crossing, a[two], 1)
+    np.add.at(crossing, b[two], 1)
+    if rule == "share":
+        np.add.at(count, a[two], held / lengths[two])
+        np.add.at(count, b[two], 1 - held / lengths[two])
+    else:
+        np.add.at(count, np.where((rule == "first") | (2 * held >= lengths[two]), a[two], b[two]), 1)
+    for t in np.flatnonzero(b > a + 1).tolist():
         parts = np.arange(a[t], b[t] + 1)
         held = np.minimum(limits[parts + 1], stop[t]) - np.maximum(limits[parts], start[t])
         crossing[parts] += 1
@@ -76,7 +91,7 @@ def _rows(path: str, rule: str):
             for k, text in enumerate(batch.column(1).to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 ids = np.array(encoding.encode_ordinary(text or ""), np.int64)
-                starts = line_starts(data)
+                starts = sentence_starts(data)
                 count, crossing = attribute(sizes[ids], starts, len(data), rule)
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
                 edge = chars[np.append(starts, len(data))]
@@ -98,7 +113,7 @@ def _batch(batch: pa.RecordBatch, keys: list, out: list) -> pa.RecordBatch:
 
 
 def section_tokens(docs: DataFrame, rule: str = "most", path: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, section, start, stop, n_tokens, n_crossing)``, a row for each line of each row of ``docs``.
+    """``(doc_id, section, start, stop, n_tokens, n_crossing)``, a row for each sentence of each row of ``docs``.
 
     ``start`` and ``stop`` are characters. The counts of a document's sections
     add up to its tokens. ``n_crossing`` are the tokens that a section shares
