@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog.llm import shared
 
 
+def _kept(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The edges in the shared folder, with their number and the sum of their hashes."""
+    seen = Observation()
+    figures = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
+    kept = shared.table(edges.observe(seen, *figures), name)
+    return kept, (seen.get["n"], seen.get["sum"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(node, component)`` for every node of ``edges (a, b)``.
 
@@ -19,9 +27,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = shared.table(edges, name)
-    before = None
-    while not (before is None and edges.isEmpty()):
+    edges, before = _kept(edges, name)
+    while before[0]:
         # Large star: every larger neighbour of a node joins the least of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -31,11 +38,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = shared.table(small, name)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        state = (state[0], state[1])
-        if state == before:
+        edges, after = _kept(small, name)
+        if after == before:
             break
-        before = state
+        before = after
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -3,13 +3,15 @@
 A classifier learned from the labelled table gives every document posterior
 probabilities of its domains. Rates r >= 0 then minimise
 
-    sum over k of (sum over i of p[i,k] * t[i] * r[i] - target[k])^2 / total[k]
-
-over documents i with t[i] tokens, from r = 1 by projected gradient steps in
-the inner product weighted with tokens, so that a rate does not depend on a
-document's length. A step needs one vector of residuals, one number a domain;
-a document's rate is a fold over those vectors, and documents with equal
-posteriors are summed before the first step. Everything is DataFrame
+    d' M^-1 d  with  d[k] = sum over i of p[i,k] * t[i] * r[i] - target[k]
+
+over documents i with t[i] tokens, where M[k,l] = sum of p[i,k] * p[i,l] * t[i],
+from r = 1 by projected gradient steps in the inner product weighted with
+tokens, so that a rate does not depend on a document's length. M makes the
+steps' best length 1 and one step enough while no rate meets 0. A step needs
+one vector of residuals, one number a domain; a document's rate is a fold over
+those vectors, and documents with equal posteriors are summed before the first
+step. Everything is DataFrame
 operations; what reaches the driver is a number for each domain, feature and
 bin.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     # documents with equal posteriors move together
     groups = shared.table(scored.groupBy("posterior").agg(F.sum("tokens").cast("double").alias("tokens")), "posteriors")
 
+    size = len(names)
+    pairs = groups.agg(*(F.sum(F.col("posterior")[k] * F.col("posterior")[j] * F.col("tokens")).alias(f"m{k}_{j}") for k in range(size) for j in range(size))).first()
+    m = np.array([x or 0.0 for x in pairs]).reshape(size, size)
+    m += np.eye(size) * (1e-9 * np.trace(m) + 1e-12)
+
     def totals() -> list[float]:
         each = [F.sum(F.col("posterior")[k] * F.col("tokens") * F.col("rate")).alias(f"k{k}") for k in range(len(names))]
         return [x or 0.0 for x in groups.withColumn("rate", rates.rate(F.col("posterior"))).agg(*each).first()]
@@ -132,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     for _ in range(rounds if whole else 0):
         if max(abs(a - b) for a, b in zip(now, wanted, strict=True)) <= CLOSE * whole:
             break
-        rates.steps.append([(a - b) / s if s else 0.0 for a, b, s in zip(now, wanted, start, strict=True)])
+        rates.steps.append([float(x) for x in np.linalg.solve(m, np.subtract(now, wanted))])
         now = totals()
     return rates, scored
 

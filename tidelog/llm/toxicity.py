@@ -127,25 +127,24 @@ def _scan(m: np.ndarray) -> np.ndarray:
     n = len(m)
     rows = int(np.ceil(np.sqrt(n)))
     cols = -(-n // rows)
-    grid = np.broadcast_to(np.eye(2), (rows * cols, 2, 2)).copy()
-    grid[:n] = m
-    grid = grid.reshape(rows, cols, 2, 2)
-    grid /= grid.sum((2, 3), keepdims=True)
-    for j in range(1, cols):
-        p, q = grid[:, j - 1], grid[:, j]
-        r = np.empty_like(p)
-        for a in (0, 1):
-            for b in (0, 1):
-                r[:, a, b] = p[:, a, 0] * q[:, 0, b] + p[:, a, 1] * q[:, 1, b]
-        grid[:, j] = r / r.sum((1, 2), keepdims=True)
-    carry = np.empty((rows, 2))
+    grid = np.tile(np.array([1.0, 0.0, 0.0, 1.0]), (rows * cols, 1))
+    grid[:n] = m.reshape(n, 4)
+    # a column of the grid is contiguous: (column, entry, row)
+    grid = np.ascontiguousarray(grid.reshape(rows, cols, 4).transpose(1, 2, 0))
+    for j in range(cols):
+        q = grid[j]
+        if j:
+            p = grid[j - 1]
+            q = np.stack([p[0] * q[0] + p[1] * q[2], p[0] * q[1] + p[1] * q[3], p[2] * q[0] + p[3] * q[2], p[2] * q[1] + p[3] * q[3]])
+        grid[j] = q / q.sum(0)
+    carry = np.empty((2, rows))
     v = np.array([0.5, 0.5])
     for i in range(rows):
-        carry[i] = v
-        v = v @ grid[i, -1]
+        carry[:, i] = v
+        v = v @ grid[-1, :, i].reshape(2, 2)
         v = v / v.sum()
-    out = carry[:, None, 0, None] * grid[:, :, 0] + carry[:, None, 1, None] * grid[:, :, 1]
-    out = out.reshape(-1, 2)[:n]
+    out = np.stack([carry[0] * grid[:, 0] + carry[1] * grid[:, 2], carry[0] * grid[:, 1] + carry[1] * grid[:, 3]], 2)
+    out = out.transpose(1, 0, 2).reshape(-1, 2)[:n]
     return out / out.sum(1, keepdims=True)
 
 
