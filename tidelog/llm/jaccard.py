@@ -1,17 +1,24 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 The order of all shingles is the order of their 64-bit hashes. Cut into F
-equal ranges, it gives every document F fragments. Two sets with Jaccard
-similarity of at least p/q differ in at most (n1 + n2)(q - p)/(q + p)
-shingles, so with more fragments than that at least one fragment is equal in
-both. A document therefore sends one signature for each fragment, and only
-documents that share a signature are compared. A comparison counts the overlap
-of each fragment of the order separately and sums the counts of the pair.
-
-The number of fragments follows from the size of the set. Sizes are cut into
-bands; a set that can be similar to sets of the next band also sends that
-band's signatures. One fragment more than needed lets a set leave out one
-empty fragment, so that empty fragments do not meet.
+ranges, it gives every document F fragments. Two sets with Jaccard similarity
+of at least p/q differ in at most D = (n1 + n2)(q - p)/(q + p) shingles, so at
+least F - D fragments are equal in both. A document sends one signature for
+each fragment, and only documents that share enough signatures are compared. A
+comparison counts the overlap of each fragment of the order separately and sums
+the counts of the pair.
+
+F follows from the size of the set. Sizes are cut into bands; a set that can be
+similar to sets of the next band also sends that band's signatures. F exceeds D
+by the signatures that a pair must share at least, and by some empty fragments,
+which are not sent.
+
+Shingles that many documents share (of licence lines, headings, passages) would
+bring unlike documents together. Any cut of the order serves, if it is the same
+for all, so those shingles have a fragment of their own, which is never sent.
+Which they are is counted over all documents, in a table of fixed size. A
+document with too many empty fragments, as it has little but frequent shingles,
+sends the fragments of the plain cut as well; two such documents meet there.
 
 Exact copies of a set are one node. Large groups are never expanded into all
 pairs: each signature links its members to its least one, links that hold are
@@ -26,12 +33,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import shared, words
 from tidelog.llm.components import components
 
+#: Places of the table in which shingles are counted, as a power of 2, and the share of documents, and their number, from which a place is frequent.
+PLACE_BITS = 22
+FREQUENT_SHARE = 0.001
+FREQUENT_LEAST = 8
+#: Times that nodes with too few common signatures are taken out; more would only leave fewer to compare.
+ROUNDS = 2
+#: Up to so many nodes a table of bits tells tasks which documents' shingles are needed; more are joined.
+FILTER_NODES = 1 << 19
 #: Ranges of the shingle order in which overlaps are counted.
 FRAGMENTS = 16
 #: A block of the last comparison holds about so many sets and shingles at most.
@@ -50,15 +65,36 @@ class Rule:
     def bands(self) -> np.ndarray:
         """Lower ends of the bands of set sizes, the same for every document."""
         ends, x = [1], 1
-        while x < 1 << 40:
-            x = max(x + 1, -(-x * self.q**3 // self.p**3))
+        while x < 1 << 36:
+            x = max(x + 1, -(-x * self.q**2 // self.p**2))
             ends.append(x)
         return np.array(ends, np.int64)
 
+    def differ(self, largest: np.ndarray) -> np.ndarray:
+        """Shingles in which linked sets of at most ``largest`` each differ at most."""
+        return 2 * largest * (self.q - self.p) // (self.q + self.p)
+
+    def shared(self, largest: np.ndarray) -> np.ndarray:
+        """Signatures that linked sets share at least."""
+        return 1 + self.differ(largest) // 12
+
     def cuts(self, largest: np.ndarray) -> np.ndarray:
-        """Fragments for sets of at most ``largest`` shingles."""
-        differ = 2 * largest * (self.q - self.p) // (self.q + self.p)
-        return differ + 2
+        return -(-(self.differ(largest) + self.shared(largest) + 1) * 8 // 7)
+
+    def blanks(self, largest: np.ndarray) -> np.ndarray:
+        """Empty fragments that may be left out."""
+        return self.cuts(largest) - self.differ(largest) - self.shared(largest)
+
+    def needed(self, band: Column, n: Column) -> Column:
+        """Signatures of a band that a set of ``n`` shingles shares with any set that it links to.
+
+        Of the band's fragments those that differ go, as many as with the
+        largest such set, and the empty ones that are left out.
+        """
+        top = self.bands()[1:] - 1
+        kept = [int(x) for x in self.cuts(top) - self.blanks(top)]
+        other = F.least(F.floor(n * self.q / self.p), F.element_at(F.lit([int(x) for x in top]), band + 1))
+        return F.element_at(F.lit(kept), band + 1) - F.floor((n + other) * (self.q - self.p) / (self.q + self.p))
 
     def linked(self, both: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
         return self.q * both >= self.p * (n1 + n2 - both)
@@ -86,22 +122,36 @@ def _sets(texts: list, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def _fingerprints(k: int):
+    """Size and fingerprint of each document; after them, the frequent places of the task's shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, docs = np.zeros(1 << PLACE_BITS, np.int32), 0
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for first, count, _, at, nodes in _sets(batch.column(1).to_pylist(), k):
+            for first, count, h, at, nodes in _sets(batch.column(1).to_pylist(), k):
                 n[first : first + count] = np.diff(at)
                 node[first : first + count] = nodes.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node)], ["doc_id", "n", "node"])
+                place, times = np.unique(_place(h), return_counts=True)
+                often[place] += times.astype(np.int32)
+            docs += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), pa.nulls(len(n), pa.int32())], ["doc_id", "n", "node", "place"])
+        hot = np.flatnonzero(often >= max(FREQUENT_LEAST, FREQUENT_SHARE * docs)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), pa.array(often[hot].astype(np.int64)), pa.nulls(len(hot), pa.int64()), pa.array(hot)], ["doc_id", "n", "node", "place"])
 
     return run
 
 
-def _signatures(rule: Rule):
+def _place(h: np.ndarray) -> np.ndarray:
+    return (words.mix(h) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+
+def _signatures(rule: Rule, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a set send it once a task
+        hot = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).view(bool)
+        ends = rule.bands()
         for batch in batches:
-            for _, _, h, at, nodes in _sets(batch.column(0).to_pylist(), rule.k):
+            for _, count, h, at, nodes in _sets(batch.column(0).to_pylist(), rule.k):
                 n = np.diff(at)
                 fresh = np.zeros(len(n), bool)
                 for i, node in enumerate(nodes.tolist()):
@@ -110,42 +160,50 @@ def _signatures(rule: Rule):
                         fresh[i] = True
                 if not fresh.any():
                     continue
-                ends = rule.bands()
                 band = np.searchsorted(ends, n, side="right") - 1
+                owner = np.repeat(np.arange(count), n)
+                rare = ~hot[_place(h)]
                 out = []
                 for up in (0, 1):
                     send = fresh & (band >= 0)
                     if up:
                         send &= rule.q * n >= rule.p * ends[band + 1]
-                    cut = rule.cuts(ends[band + up + 1] - 1)
-                    # Two cuts stand for no difference at all: equal sets are one node already.
-                    send &= cut > 2
-                    out.append(_fragment_rows(h, at, n, nodes, send, cut, band + up))
+                    largest = ends[band + up + 1] - 1
+                    # sets that cannot differ at all are one node already
+                    send &= rule.differ(largest) > 0
+                    spare = rule.blanks(largest)
+                    cut = rule.cuts(largest)
+                    rows, blank = _fragments(h[rare], owner[rare], nodes, send, cut, band + up, 0, None)
+                    out.append(rows)
+                    out.append(_fragments(h, owner, nodes, send & (blank > spare), cut, band + up, 1, spare)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sig", "node"])
 
     return run
 
 
-def _fragment_rows(h, at, n, nodes, send, cut, band) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.flatnonzero(send)
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(n)), n)
+def _fragments(h, owner, nodes, send, cut, band, family: int, spare) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """``(signatures, nodes)`` of the fragments that are not empty, and each document's number of empty ones.
+
+    With ``spare``, a document with more empty fragments than that sends them
+    too. A signature's lowest seven bits are its band.
+    """
+    count = len(send)
+    cuts = np.where(send, cut, 0)
     keep = send[owner]
     g, owner = h[keep], owner[keep]
     place = ((g >> np.uint64(32)) * cut[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     # fragments of one document follow one another, as its shingles are in order
-    base = np.zeros(len(n) + 1, np.int64)
-    base[1:] = np.cumsum(np.where(send, cut, 0))
-    slot = base[owner] + place
-    bounds = np.searchsorted(slot, np.arange(base[-1] + 1))
-    of = np.repeat(np.arange(len(n)), np.where(send, cut, 0))
+    base = np.concatenate([[0], np.cumsum(cuts)])
+    bounds = np.searchsorted(base[owner] + place, np.arange(base[-1] + 1))
+    of = np.repeat(np.arange(count), cuts)
     place = np.arange(base[-1]) - base[of]
     filled = np.diff(bounds) > 0
-    blank = np.bincount(of, weights=~filled, minlength=len(n))
-    filled |= blank[of] > 1  # more empty fragments than may be left out: send them too
-    sig = words.mix(_sums(words.mix(g), bounds) + words.mix(place.astype(np.uint64) * np.uint64(1 << 20) + band[of].astype(np.uint64)))
-    return sig[filled].view(np.int64), nodes[of][filled].view(np.int64)
+    blank = np.bincount(of, weights=~filled, minlength=count)
+    if spare is not None:
+        filled |= (blank > spare)[of]
+    sig = words.mix(_sums(words.mix(g), bounds) + words.mix(place.astype(np.uint64) * np.uint64(1 << 20) + (2 * band[of] + family).astype(np.uint64)))
+    sig = sig & ~np.uint64(127) | band[of].astype(np.uint64)
+    return (sig[filled].view(np.int64), nodes[of][filled].view(np.int64)), blank
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +226,19 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig, last_node, leader = sig[-1], node[-1], head[-1]
 
 
-def _gram_rows(k: int):
-    """Shingles of each document by fragment of their order."""
+def _gram_rows(k: int, wanted=None):
+    """Shingles of each document by fragment of their order; of those whose node's bit is set, if bits are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8)).view(bool)
         for batch in batches:
             for _, count, h, at, nodes in _sets(batch.column(0).to_pylist(), k):
                 n = np.diff(at)
+                if bits is not None:
+                    keep = bits[(nodes >> np.uint64(64 - PLACE_BITS)).astype(np.int64)]
+                    if not keep.any():
+                        continue
+                    h, nodes, n, count = h[np.repeat(keep, n)], nodes[keep], n[keep], int(keep.sum())
                 owner = np.repeat(np.arange(count), n)
                 slot = owner * FRAGMENTS + (h >> np.uint64(60)).astype(np.int64)
                 bounds = np.searchsorted(slot, np.arange(count * FRAGMENTS + 1)).astype(np.int32)
@@ -243,9 +307,13 @@ def _blocks(rule: Rule):
 
 
 def fingerprints(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n, node)``: size and fingerprint of each document's set of shingles."""
+    """``(doc_id, n, node, place)``: size and fingerprint of each document's set of shingles.
+
+    Rows with a ``place`` are none of documents: they hold how many documents
+    of a task have a shingle there, where that is frequent.
+    """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(_fingerprints(k), "doc_id long, n long, node long")
+    return narrow.mapInArrow(_fingerprints(k), "doc_id long, n long, node long, place int")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
@@ -260,20 +328,50 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     apart by 64-bit fingerprints, and shingles by 64-bit hashes.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = shared.table(fingerprints(source, rule.k), "sets")
+    both = shared.table(fingerprints(source, rule.k), "sets")
+    prints = both.where("place is null").drop("place")
+    documents = prints.count()
+    # at most a bit for each place is broadcast
+    often = both.where("place is not null").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= max(FREQUENT_LEAST, FREQUENT_SHARE / 2 * documents))
+    frequent = np.zeros(1 << PLACE_BITS, np.uint8)
+    frequent[often.select("place").toPandas()["place"].to_numpy(np.int64)] = 1
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent).tobytes())
     usable = source.where("doc_id is not null and text is not null")
 
     # 1. Signatures of fragments; members of a signature meet at its least node.
-    rows = usable.select("text").mapInArrow(_signatures(rule), "sig long, node long")
+    rows = usable.select("text").mapInArrow(_signatures(rule, sent), "sig long, node long")
     stars = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, a long, b long")
     stars = shared.table(stars, "stars")
+    member = stars.select("sig", F.col("a").alias("node")).distinct().unionByName(stars.select("sig", F.col("b").alias("node")))
+    # a link takes several common signatures of one band: nodes and signatures with fewer members go
+    sizes = prints.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
+    needed = rule.needed(F.col("band"), F.col("n"))
+    for _ in range(ROUNDS):
+        member = member.select("sig", "node").withColumn("band", F.col("sig").bitwiseAND(127).cast("int"))
+        enough = member.groupBy("node", "band").agg(F.count(F.lit(1)).alias("sigs")).join(sizes, "node").withColumn("spare", F.col("sigs") - needed).where("spare >= 0")
+        member = shared.table(member.join(enough.select("node", "band", "spare"), ["node", "band"]).select("sig", "node", "band", "spare"), "members")
+        often = member.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        member = member.join(often, "sig")
+    # of a node's signatures those that it need not share suffice, and one more: the rarest
+    order = Window.partitionBy("node", "band").orderBy("times", "sig")
+    member = shared.table(member.withColumn("place", F.row_number().over(order)).where("place <= spare + 1").select("sig", "node"), "members")
+    member = member.join(member.groupBy("sig").agg(F.min("node").alias("a")), "sig")
+    stars = shared.table(member.where("node <> a").select("sig", "a", F.col("node").alias("b")), "stars")
 
     # 2. The shingles of the nodes that may be linked, from one document of each.
-    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = prints.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(nodes, "node", "left_semi").select("doc_id")
-    grams = usable.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_gram_rows(rule.k), "node long, n long, fragment int, grams array<long>")
-    # an id may stand on several texts: only nodes that were asked for, once each
+    nodes = shared.table(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    kind = "node long, n long, fragment int, grams array<long>"
+    if nodes.count() <= FILTER_NODES:
+        bits = np.zeros(1 << PLACE_BITS, np.uint8)
+        places = nodes.select(F.shiftrightunsigned("node", 64 - PLACE_BITS).alias("place")).distinct()
+        bits[places.toPandas()["place"].to_numpy(np.int64)] = 1
+        wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+        grams = usable.select("text").mapInArrow(_gram_rows(rule.k, wanted), kind)
+    else:
+        first = prints.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        chosen = first.join(nodes, "node", "left_semi").select("doc_id")
+        grams = usable.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(_gram_rows(rule.k), kind)
+    # an id may stand on several texts, and a node on several documents: only nodes that were asked for, once each
     grams = grams.join(nodes, "node", "left_semi").dropDuplicates(["node", "fragment"])
     grams = shared.table(grams, "grams")
 
