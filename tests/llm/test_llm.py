@@ -477,10 +477,11 @@ def test_tree_marginals_equal_enumeration(spark):
     got = model.marginals(page)
     n, evidence = len(page.tag), page.evidence()
     odds = [model.odds(fs) for fs in evidence]
+    edge = [(0.5, 0.5) if page.boiler(k) else model.edge(page.tag[k]) for k in range(n)]
     total, mass = 0.0, np.zeros(n)
     for y in itertools.product((0, 1), repeat=n - 1):
         y = (0, *y)
-        w = math.prod(model.edge[y[page.parent[k]], y[k]] * (odds[k] if y[k] else 1) for k in range(1, n))
+        w = math.prod((edge[k][y[page.parent[k]]] * odds[k] if y[k] else 1 - edge[k][y[page.parent[k]]]) for k in range(1, n))
         total += w
         mass += w * np.array(y)
     assert np.allclose(mass / total, got, atol=1e-9)

@@ -6,7 +6,7 @@ role), the length and punctuation of its own text and the share of links in its
 text are its evidence. Messages that go up to the root and down again give each
 element's marginal; text whose element is more likely content is kept.
 
-The tables of the model are counted on pages that label themselves: those with
+The model is fitted on pages that label themselves: those with
 an ``article`` or ``main`` element, in which what lies inside is content unless
 an element of another kind (navigation, header, footer, aside, form, advert,
 notice, comments) holds it.
@@ -19,13 +19,15 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages, about, that the model is counted on.
 SAMPLE = 2000
+#: Features that the model keeps, the most frequent ones, and what is added to each count.
+FEATURES = 5000
+SMOOTH = 0.1
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-label)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +43,8 @@ _BOILER_TAGS = frozenset("nav header footer aside form menu dialog button head l
 _BOILER_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner notice notices alert cookie cookies consent gdpr popup modal newsletter subscribe signup login comment comments respond reply replies disqus share sharing social related recommended recommendations widget toolbar pagination pager copyright legal tags hidden form search skip".split()
 )
+#: Log-odds of elements that hold no main text wherever they stand.
+PRIOR = {"tag=": 0.0, "names=boiler": -20.0} | {f"tag={t}": -20.0 for t in _BOILER_TAGS}
 _CONTENT_NAMES = frozenset("article content main post entry story text body page".split())
 
 
@@ -108,6 +112,10 @@ class Page:
             if t in fence:
                 return
 
+    def boiler(self, k: int) -> bool:
+        """Whether an element's tag or names mark it as boilerplate."""
+        return self.tag[k] in _BOILER_TAGS or not self.names[k].isdisjoint(_BOILER_NAMES)
+
     def evidence(self) -> list[list[str]]:
         """Features of each element."""
         n = len(self.tag)
@@ -129,7 +137,7 @@ class Page:
             share = link[k] / total[k] if total[k] else 0.0
             names = self.names[k]
             kind = "boiler" if names & _BOILER_NAMES else "content" if names & _CONTENT_NAMES else "none"
-            out.append([f"tag={self.tag[k]}", f"names={kind}", f"own={min(own[k].bit_length() // 2, 5)}", f"dots={min(dots[k], 2)}", f"links={min(int(share * 4), 3)}"])
+            out.append(["tag=" + self.tag[k] if self.tag[k] in _BOILER_TAGS else "tag=", f"names={kind}", f"text={min(own[k].bit_length() // 2, 5)}.{min(dots[k], 2)}.{min(int(share * 4), 3)}"])
         return out
 
     def labels(self) -> list[int] | None:
@@ -138,7 +146,7 @@ class Page:
             return None
         out = [0] * len(self.tag)
         for k in range(1, len(out)):
-            if self.tag[k] in _BOILER_TAGS or self.names[k] & _BOILER_NAMES:
+            if self.boiler(k):
                 out[k] = -1
             elif self.tag[k] in ("article", "main"):
                 out[k] = -1 if out[self.parent[k]] < 0 else 1
@@ -163,32 +171,45 @@ class Page:
 
 
 class Model:
-    """Log-potentials of edges and evidence."""
+    """Log-odds of evidence, and a child's label given its parent's, by the child's tag."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        boiler, content = counts.get("n", (0, 0))
+        kinds = len(counts) + 1
 
-    def __init__(self, counts: dict[str, tuple[float, float]]):
         def ratio(feature: str) -> float:
-            a, b = counts.get(feature, (0, 0))
-            return math.log((b + 0.5) / (totals[1] + 25)) - math.log((a + 0.5) / (totals[0] + 25))
+            a, b = counts[feature]
+            return math.log((b + SMOOTH) / (content + SMOOTH * kinds)) - math.log((a + SMOOTH) / (boiler + SMOOTH * kinds))
+
+        self.known = {f: ratio(f) for f in counts if "=" in f} | PRIOR
+        self.pooled = tuple((counts.get(f"edge{y}", (0, 0))[1] + 0.5 * (1 + y)) / (sum(counts.get(f"edge{y}", (0, 0))) + 2.0) for y in (0, 1))
+        self.by_tag: dict[str, tuple[float, float]] = {}
+        for t in {f.split(":", 1)[1] for f in counts if f.startswith("edge") and ":" in f}:
+            c = [counts.get(f"edge{y}:{t}", (0, 0)) for y in (0, 1)]
+            self.by_tag[t] = tuple((c[y][1] + 2 * self.pooled[y]) / (sum(c[y]) + 2) for y in (0, 1))
+
+    def edge(self, tag: str) -> tuple[float, float]:
+        """Chance of content below boilerplate and below content."""
+        return self.by_tag.get(tag, self.pooled)
 
-        totals = counts.get("n", (0.0, 0.0))
-        self.known = {f: ratio(f) for f in counts if "=" in f}
-        edge = np.array([counts.get("edge0", (0, 0)), counts.get("edge1", (0, 0))], float) + 0.5
-        self.edge = edge / edge.sum(1, keepdims=True)
+    def odds(self, features: list[str]) -> float:
+        return math.exp(max(-30.0, min(30.0, sum([self.known.get(f, 0.0) for f in features]))))
 
     def marginals(self, page: Page) -> list[float]:
         """Probability of content of each element, by messages up and then down."""
         n = len(page.tag)
-        (a00, a01), (a10, a11) = self.edge.tolist()
-        known = self.known
+        # boilerplate by name may stand anywhere and says nothing of its parent
+        edges = [(0.5, 0.5) if page.boiler(k) else self.edge(t) for k, t in enumerate(page.tag)]
         up0, up1 = [1.0] * n, [1.0] * n  # evidence of an element and all below it
-        odds = [math.exp(max(-30.0, min(30.0, sum([known.get(f, 0.0) for f in fs])))) for fs in page.evidence()]
+        odds = [self.odds(fs) for fs in page.evidence()]
         to0, to1 = [1.0] * n, [1.0] * n
         for k in range(n - 1, 0, -1):
             x, y = up0[k], up1[k] * odds[k]
             s = x + y
             x, y = x / s, y / s
             up0[k], up1[k] = x, y
-            m0, m1 = a00 * x + a01 * y, a10 * x + a11 * y
+            e0, e1 = edges[k]
+            m0, m1 = (1 - e0) * x + e0 * y, (1 - e1) * x + e1 * y
             to0[k], to1[k] = m0, m1
             p = page.parent[k]
             u, v = up0[p] * m0, up1[p] * m1
@@ -201,7 +222,8 @@ class Model:
             p = page.parent[k]
             # what the parent knows without this child
             x, y = full0[p] / to0[k], full1[p] / to1[k]
-            d0, d1 = x * a00 + y * a10, x * a01 + y * a11
+            e0, e1 = edges[k]
+            d0, d1 = x * (1 - e0) + y * (1 - e1), x * e0 + y * e1
             s = d0 + d1
             d0, d1 = d0 / s, d1 / s
             down0[k], down1[k] = d0, d1
@@ -218,6 +240,7 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many boilerplate and content elements have each feature and each parent's label."""
     total: dict[str, list[int]] = {}
     for batch in batches:
         for source in batch.column(0).to_pylist():
@@ -227,20 +250,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for k, (fs, y) in enumerate(zip(page.evidence(), labels, strict=True)):
                 if k:
-                    for f in (*fs, "n", f"edge{labels[page.parent[k]]}"):
+                    edge = f"edge{labels[page.parent[k]]}"
+                    for f in (*fs, "n", edge, f"{edge}:{page.tag[k]}"):
                         total.setdefault(f, [0, 0])[y] += 1
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.int64())], ["feature", "c0", "c1"])
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """Count the model's tables on about ``sample`` pages, chosen by a hash of page and url, that label themselves."""
+    """Fit the model to about ``sample`` pages, chosen by a hash of page and url, that label themselves."""
     rows = pages.where("html is not null")
     n = rows.count()
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, n // sample))) == 0)
     counts = rows.select("html").mapInArrow(_count, "feature string, c0 long, c1 long").groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    # names of tags are data; the most frequent are enough and bound what is sent
-    kept = counts.orderBy(F.desc(F.col("c0") + F.col("c1")), "feature").limit(5000)
+    # names of tags are data: the most frequent features bound what is sent
+    kept = counts.orderBy(F.desc(F.col("c0") + F.col("c1")), "feature").limit(FEATURES)
     return Model({r.feature: (r.c0, r.c1) for r in kept.collect()})
 
 

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm import words
+from tidelog.llm import shared, words
 
 #: Size of the table of hashed features, and so of what is broadcast.
 TABLE_BITS = 21
 #: Labelled documents of each class that the chain is fitted on, and the length of the longest of them in characters.
 SAMPLE = 1000
 SAMPLE_CHARS = 20_000
+#: Labels that are broadcast at most.
+BROADCAST_LABELS = 1_000_000
 #: A feature points to toxic tokens from this log-odds ratio of document frequencies and so many toxic documents.
 LEAST_ODDS = 3.0
 LEAST_DOCS = 4
@@ -238,31 +240,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     """Fit to the labelled rows that are not held out.
 
     Feature counts cover all of those rows. The chain is fitted on at most
-    ``sample`` documents of each label of at most ``SAMPLE_CHARS`` characters,
-    the first in an order by hash. Null labels and null texts are left out.
+    ``sample`` documents of each label, the first in an order by hash, of those
+    that have at most ``SAMPLE_CHARS`` characters. Null labels and null texts are left out.
     With no rows of one of the labels the model scores every text 0.
     """
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     usable = usable.where(~held_out("label_id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").where("text is not null").join(usable, "label_id").select("text", "toxic", "label_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").where("text is not null")
+    usable = shared.table(usable, "labels")
+    # so few labels are sent to the texts; more bring the texts to the labels, once
+    known = F.broadcast(usable) if usable.count() <= BROADCAST_LABELS else usable
+    rows = texts.join(known, "label_id").select("text", "toxic")
     counted = rows.select("text", "toxic").mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = {r.feature: (r.toxic, r.clean) for r in counted.where("feature < 0").collect()}
     n1, n0 = totals.get(-1, (0, 0))
+    empty = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, np.zeros((2, 2)), np.zeros(2), np.array([-50.0, 0, 0]))
     if not n1 or not n0:
-        empty = np.zeros(0, np.int64)
-        return Model(empty, np.zeros(0, np.float32), 0.0, np.zeros((2, 2)), np.zeros(2), np.array([-50.0, 0, 0]))
+        return empty
     odds = F.log((F.col("toxic") + 0.1) / F.lit(n1 + 1.0)) - F.log((F.col("clean") + 0.1) / F.lit(n0 + 1.0))
     # at most one row for each place of the table
     chosen = counted.where((F.col("feature") >= 0) & (F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).select("feature").toPandas()["feature"].to_numpy(np.int64)
     chosen = np.sort(chosen)
-    short = rows.where(F.length("text") <= SAMPLE_CHARS)
-    picked = [short.where(f"toxic = {y}").orderBy(F.xxhash64("label_id"), "label_id").limit(sample).select("text", "toxic").collect() for y in (0, 1)]
-    texts = [r.text for part in picked for r in part]
-    label = np.array([r.toxic for part in picked for r in part])
+    ids = None
+    for y in (0, 1):
+        some = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+        ids = some if ids is None else ids.unionByName(some)
+    # at most `sample` ids of each label, and so many bounded texts
+    picked = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "label_id").orderBy("label_id").select("text", "toxic").limit(2 * sample).collect()
+    if len({r.toxic for r in picked}) < 2:
+        return empty
+    sampled, label = [r.text for r in picked], np.array([r.toxic for r in picked])
     position = np.full((1 << TABLE_BITS) + 1, -1, np.int64)
     position[chosen] = np.arange(len(chosen))
     fs, bs, at = [], [0], 0
-    for _, _, s, bounds in _groups(texts):
+    for _, _, s, bounds in _groups(sampled):
         fs.append(position[features(s)])
         bs.extend((bounds[1:] + at).tolist())
         at += len(s.starts)
