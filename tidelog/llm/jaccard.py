@@ -22,7 +22,8 @@ sends the fragments of the plain cut as well; two such documents meet there.
 
 Exact copies of a set are one node. Large groups are never expanded into all
 pairs: each signature links its members to its least one, links that hold are
-contracted, and only members that are then still apart are compared in blocks.
+contracted, and only members that are then still apart are compared, those of
+large signatures in blocks.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ FREQUENT_LEAST = 8
 ROUNDS = 2
 #: Up to so many nodes a table of bits tells tasks which documents' shingles are needed; more are joined.
 FILTER_NODES = 1 << 19
+#: Members of a signature up to which its pairs across components are counted one by one; of larger ones they are counted in blocks.
+FEW = 32
 #: Ranges of the shingle order in which overlaps are counted.
 FRAGMENTS = 16
 #: A block of the last comparison holds about so many sets and shingles at most.
@@ -375,36 +378,45 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     grams = grams.join(nodes, "node", "left_semi").dropDuplicates(["node", "fragment"])
     grams = shared.table(grams, "grams")
 
-    # 3. Stars that hold: overlaps by fragment, summed for each pair.
-    pairs = stars.select("a", "b").distinct()
-    left = grams.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("grams_a"))
-    right = grams.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("grams_b"))
+    # 3. Stars that hold.
     sizes = grams.where("fragment = 0").select("node", "n")
-    likely = (
-        pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        .where((rule.q * F.least("n_a", "n_b") >= rule.p * F.greatest("n_a", "n_b")))
-        .select("a", "b")
-    )
-    partial = likely.join(right.drop("n_b"), "b").join(left.drop("n_a"), ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
-    summed = partial.groupBy("a", "b").agg(F.sum("both").alias("both"))
-    summed = summed.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    links = shared.table(summed.where(rule.q * F.col("both") >= rule.p * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "links")
+    links = shared.table(_verified(stars.select("a", "b"), grams, sizes, rule), "links")
     joined = components(links)
 
-    # 4. Signatures whose members are still apart: all their pairs across components, in blocks.
-    def labelled(column: str, label: str) -> DataFrame:
-        return joined.select(F.col("node").alias(column), F.col("component").alias(label))
-
-    seen = stars.join(labelled("a", "c_a"), "a", "left").join(labelled("b", "c_b"), "b", "left")
-    seen = seen.select("sig", "a", "b", F.coalesce("c_a", "a").alias("c_a"), F.coalesce("c_b", "b").alias("c_b"))
-    open_sigs = seen.where("c_a <> c_b").select("sig").distinct()
-    apart = shared.table(seen.join(open_sigs, "sig", "left_semi").select("a", "b", "c_a", "c_b").distinct(), "apart")
-    if apart.where("c_a <> c_b").isEmpty():
-        return _answer(prints, joined)
-    groups = components(apart.where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-    member = apart.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("c_a").alias("c")), F.struct(F.col("b").alias("node"), F.col("c_b").alias("c")))).alias("m"))
-    member = member.select("m.node", F.col("m.c").alias("component")).distinct()
+    # 4. Signatures whose members are still apart: their pairs across components.
+    label = joined.select("node", "component")
+    held = member.select("sig", "node").join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    held = shared.table(held, "held")
+    still = held.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    few = held.join(still.where(F.col("times") <= FEW).select("sig"), "sig")
+    pairs = few.select("sig", F.col("node").alias("a"), F.col("c").alias("c_a")).join(few.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b")), "sig").where("a < b and c_a <> c_b")
+    more = shared.table(_verified(pairs.select("a", "b"), grams, sizes, rule), "more")
+    whole = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    # of larger signatures the members that are apart, in blocks
+    many = shared.table(held.join(still.where(F.col("times") > FEW).select("sig", "least"), "sig").select("node", "c", "least").distinct(), "apart")
+    if not many.isEmpty():
+        whole = whole.unionByName(_apart(many, grams, sizes, rule))
+    return _answer(prints, components(whole))
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Those of ``pairs (a, b)`` that link: overlaps by fragment, summed for each pair."""
+    left = grams.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
+    right = grams.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+
+    likely = sized(pairs.distinct()).where(rule.q * F.least("n_a", "n_b") >= rule.p * F.greatest("n_a", "n_b")).select("a", "b")
+    partial = likely.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
+    summed = sized(partial.groupBy("a", "b").agg(F.sum("both").alias("both")))
+    return summed.where(rule.q * F.col("both") >= rule.p * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def _apart(many: DataFrame, grams: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Links between components ``c`` of nodes that meet in a signature, given with its least component."""
+    groups = components(many.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")))
+    member = many.select("node", F.col("c").alias("component")).distinct()
     member = member.join(groups.select(F.col("node").alias("component"), F.col("component").alias("group")), "component").join(sizes, "node")
     spread = member.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("parts"))
     member = member.join(spread, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -412,10 +424,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     member = member.select("group", "node", "component", "part", F.explode(other).alias("o")).select("group", "node", "component", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
     work = member.join(grams, "node")
-    more = work.groupBy("group", "i", "j").applyInPandas(_blocks(rule), "a long, b long")
-    more = shared.table(more.distinct(), "more")
-    whole = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    return _answer(prints, components(whole))
+    return shared.table(work.groupBy("group", "i", "j").applyInPandas(_blocks(rule), "a long, b long").distinct(), "blocks")
 
 
 def _answer(prints: DataFrame, joined: DataFrame) -> DataFrame:
