@@ -17,6 +17,8 @@ def folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     kept = spark.conf.get("tidelog.shared.dir", None)
     if not kept:
         kept = "file://" + tempfile.mkdtemp(prefix="tidelog-")

@@ -34,6 +34,8 @@ BROADCAST_LABELS = 1_000_000
 #: A feature points to toxic tokens from this log-odds ratio of document frequencies and so many toxic documents.
 LEAST_ODDS = 3.0
 LEAST_DOCS = 4
+#: Its toxic documents exceed those to be expected by so many standard deviations.
+LEAST_SIGMA = 5.0
 _KINDS = (("word", 0), ("prefix", 4), ("prefix", 5), ("prefix", 6), ("suffix", 4))
 
 
@@ -70,9 +72,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each label that have a feature, summed over a task."""
     total = np.zeros((2, 1 << TABLE_BITS), np.int32)
     n = np.zeros(2, np.int64)
+    seen: set[int] = set()  # a task counts copies of a text once
     for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, count, s, bounds in _groups(batch.column(0).to_pylist()):
+        texts = batch.column(0).to_pylist()
+        fresh = []
+        for i, text in enumerate(texts):
+            if (h := hash(text)) not in seen:
+                seen.add(h)
+                fresh.append(i)
+        toxic = batch.column(1).to_numpy(zero_copy_only=False)[fresh]
+        for first, count, s, bounds in _groups([texts[i] for i in fresh]):
             f = features(s)
             owner = np.repeat(np.arange(count), np.diff(bounds))
             label = toxic[first : first + count].astype(np.int64)
@@ -84,8 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at, times = np.unique(key[of == y] & ((1 << TABLE_BITS) - 1), return_counts=True)
                     total[y][at] += times.astype(np.int32)
             n += np.bincount(label, minlength=2)
-    # clean counts alone decide nothing
-    at = np.flatnonzero(total[1])
+    at = np.flatnonzero(total[0] | total[1])
     index = np.concatenate([at, [-1]])
     yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(np.append(total[1][at], n[1]).astype(np.int64)), pa.array(np.append(total[0][at], n[0]).astype(np.int64))], ["feature", "toxic", "clean"])
 
@@ -258,8 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     if not n1 or not n0:
         return empty
     odds = F.log((F.col("toxic") + 0.1) / F.lit(n1 + 1.0)) - F.log((F.col("clean") + 0.1) / F.lit(n0 + 1.0))
+    expected = (F.col("toxic") + F.col("clean")) * (n1 / (n0 + n1))
     # at most one row for each place of the table
-    chosen = counted.where((F.col("feature") >= 0) & (F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).select("feature").toPandas()["feature"].to_numpy(np.int64)
+    chosen = counted.where((F.col("feature") >= 0) & (F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (F.col("toxic") - expected >= LEAST_SIGMA * F.sqrt(expected))).select("feature").toPandas()["feature"].to_numpy(np.int64)
     chosen = np.sort(chosen)
     ids = None
     for y in (0, 1):
