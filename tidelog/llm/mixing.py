@@ -95,6 +95,14 @@ class Rates:
         return F.aggregate(F.array(*(F.lit(g) for g in self.steps)), F.lit(1.0), step)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once a row, however often what follows refers to it.
+
+    The optimizer would put the expression in place of each reference.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, rounds: int = ROUNDS) -> tuple[Rates, DataFrame]:
     """Rates for ``docs``, and a table ``(doc_id, tokens, posterior)`` with a row for each of them.
 
@@ -120,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     likelihood = [[[math.log((x + 0.5) / (sizes[k] + 0.5 * BINS)) for x in row] for row in tally[k]] for k in range(len(names))]
     rates = Rates(names, prior, likelihood)
     bins = [F.col("bins")[f] for f in range(width)]
-    scored = table.select("doc_id", "tokens", rates.posterior(bins).alias("posterior"))
+    scored = _once(table.select("doc_id", "tokens", "bins"), "posterior", rates.posterior(bins)).drop("bins")
     # documents with equal posteriors move together
     groups = shared.table(scored.groupBy("posterior").agg(F.sum("tokens").cast("double").alias("tokens")), "posteriors")
 
@@ -162,5 +170,8 @@ def report(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TA
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """The rows of ``docs`` with a rate above 0, with columns ``rate`` and ``copies`` added or replaced."""
     rates, _ = fit(docs, labels, targets)
-    rate = F.round(rates.rate(rates.posterior(features(F.col("text")))), 6)
-    return docs.withColumn("rate", rate).withColumn("copies", _copies(F.col("rate"), F.col("doc_id"))).where("rate > 0")
+    columns = [c for c in docs.columns if c not in ("rate", "copies")]
+    out = _once(docs.select(*columns), "_bins", F.array(*features(F.col("text"))))
+    out = _once(out, "_posterior", rates.posterior([F.col("_bins")[k] for k in range(len(features(F.col("text"))))]))
+    out = _once(out, "rate", F.round(rates.rate(F.col("_posterior")), 6))
+    return out.select(*columns, "rate", _copies(F.col("rate"), F.col("doc_id")).alias("copies")).where("rate > 0")
