@@ -27,8 +27,8 @@ from tidelog.llm import shared, words
 #: Size of the table of hashed features, and so of what is broadcast.
 TABLE_BITS = 21
 #: Labelled documents of each class that the chain is fitted on, and the length of the longest of them in characters.
-SAMPLE = 1000
-SAMPLE_CHARS = 20_000
+SAMPLE = 400
+SAMPLE_CHARS = 10_000
 #: Labels that are broadcast at most.
 BROADCAST_LABELS = 1_000_000
 #: A feature points to toxic tokens from this log-odds ratio of document frequencies and so many toxic documents.
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     position[chosen] = np.arange(len(chosen))
     fs, bs, at = [], [0], 0
     for _, _, s, bounds in _groups(sampled):
-        fs.append(position[features(s)])
+        fs.append(position[features(s)].astype(np.int32))
         bs.extend((bounds[1:] + at).tolist())
         at += len(s.starts)
     f, bounds = np.concatenate(fs), np.array(bs)
