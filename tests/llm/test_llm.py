@@ -193,6 +193,19 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert a == b
 
 
+def test_copies_of_a_text_count_once_in_any_partitions(spark):
+    docs, labels, texts, toxic = toxic_corpus(spark, 300)
+    only = "wort1 rareword wort2"  # a toxic document without a known toxic word, and 60 copies of it
+    copied = docs.unionByName(documents(spark, [only] * 60, range(1000, 1060)))
+    known = labels.unionByName(spark.createDataFrame([(k, 1, 1) for k in range(1000, 1060)], labels.schema))
+    models = [toxicity.fit(copied.repartition(n), known) for n in (1, 50)]
+    rare = toxicity.features(words.slices(b"rareword", words.ALNUM)).ravel()
+    assert all(not np.isin(m.index, rare).any() and len(m.index) for m in models)
+    assert models[0].index.tolist() == models[1].index.tolist() and np.allclose(models[0].weight, models[1].weight)
+    a, b = ([r.score for r in toxicity.tag(docs, m).orderBy("key").collect()] for m in models)
+    assert np.allclose(a, b)
+
+
 # 3
 
 

@@ -4,7 +4,7 @@ Tokens are runs of ASCII letters and digits and of all other characters. A
 token's features are itself, its prefixes of 4 to 6 bytes and its suffix of 4
 bytes, hashed into a fixed table. Labels are given for whole documents only,
 so token labels come from them by distant supervision: over all labelled
-training rows, each feature's documents are counted by label, and a token of a
+training rows, each feature's different texts are counted by label, and a token of a
 toxic document counts as toxic if one of its features is far more frequent in
 toxic documents than in others. A chain with two states is fitted to the
 tokens of a bounded sample of those rows. Forward-backward marginals then give
@@ -72,16 +72,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each label that have a feature, summed over a task."""
     total = np.zeros((2, 1 << TABLE_BITS), np.int32)
     n = np.zeros(2, np.int64)
-    seen: set[int] = set()  # a task counts copies of a text once
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        fresh = []
-        for i, text in enumerate(texts):
-            if (h := hash(text)) not in seen:
-                seen.add(h)
-                fresh.append(i)
-        toxic = batch.column(1).to_numpy(zero_copy_only=False)[fresh]
-        for first, count, s, bounds in _groups([texts[i] for i in fresh]):
+        toxic = batch.column(1).to_numpy(zero_copy_only=False)
+        for first, count, s, bounds in _groups(texts):
             f = features(s)
             owner = np.repeat(np.arange(count), np.diff(bounds))
             label = toxic[first : first + count].astype(np.int64)
@@ -247,7 +241,7 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 40) -> Model:
     """Fit to the labelled rows that are not held out.
 
-    Feature counts cover all of those rows. The chain is fitted on at most
+    Feature counts cover all of those rows, copies of a text with one label once. The chain is fitted on at most
     ``sample`` documents of each label, the first in an order by hash, of those
     that have at most ``SAMPLE_CHARS`` characters. Null labels and null texts are left out.
     With no rows of one of the labels the model scores every text 0.
@@ -258,8 +252,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     usable = shared.table(usable, "labels")
     # so few labels are sent to the texts; more bring the texts to the labels, once
     known = F.broadcast(usable) if usable.count() <= BROADCAST_LABELS else usable
-    rows = texts.join(known, "label_id").select("text", "toxic")
-    counted = rows.select("text", "toxic").mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # copies of a text with the same label count once, wherever they lie; each task drops its own before texts are moved
+    rows = texts.join(known, "label_id").select("text", "toxic").distinct()
+    counted = rows.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = shared.table(counted, "features")
     totals = {r.feature: (r.toxic, r.clean) for r in counted.where("feature < 0").collect()}
     n1, n0 = totals.get(-1, (0, 0))
     empty = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, np.zeros((2, 2)), np.zeros(2), np.array([-50.0, 0, 0]))
