@@ -206,6 +206,27 @@ def test_copies_of_a_text_count_once_in_any_partitions(spark):
     assert np.allclose(a, b)
 
 
+def test_sample_is_taken_from_usable_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400)
+    docs, labels, texts, toxic = toxic_corpus(spark, 300)
+    order = [r.doc_id for r in labels.where("toxic = 1").where(~toxicity.held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    first = F.col("doc_id").isin(order[:10])
+
+    def right(docs, labels):
+        got = {r.key: r.score >= 0.5 for r in toxicity.tag(table_of, toxicity.fit(docs, labels, sample=10)).collect()}
+        return np.mean([got[k] == toxic[k] for k in range(len(toxic))])
+
+    table_of = documents(spark, texts)
+    # the first ones of a label are too long, have no text, or are not there
+    assert right(docs.withColumn("text", F.when(first, F.repeat("text", 9)).otherwise(F.col("text"))), labels) > 0.95
+    assert right(docs.withColumn("text", F.when(~first, F.col("text"))), labels) > 0.95
+    assert right(docs.where(~first), labels) > 0.95
+    # an id that is repeated more often than the sample is large
+    assert right(docs.unionByName(documents(spark, ["wort1 wort2"] * 40, [-5] * 40)), labels.unionByName(spark.createDataFrame([(-5, 1, 0)], labels.schema))) > 0.95
+    # all documents of a label are long
+    assert right(docs.join(labels, "doc_id").withColumn("text", F.when(F.col("toxic") == 1, F.repeat(F.concat("text", F.lit(" ")), 9)).otherwise(F.col("text"))).select(docs.columns), labels) > 0.95
+
+
 # 3
 
 

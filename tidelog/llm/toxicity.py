@@ -242,8 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     """Fit to the labelled rows that are not held out.
 
     Feature counts cover all of those rows, copies of a text with one label once. The chain is fitted on at most
-    ``sample`` documents of each label, the first in an order by hash, of those
-    that have at most ``SAMPLE_CHARS`` characters. Null labels and null texts are left out.
+    ``sample`` documents of each label, the first in an order by hash of those
+    that are there with at most ``SAMPLE_CHARS`` characters; an id takes part
+    once, with its shortest text. A label with longer documents only takes part
+    with their first ``SAMPLE_CHARS`` characters. Null labels and null texts are left out.
     With no rows of one of the labels the model scores every text 0.
     """
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
@@ -266,14 +268,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     # at most one row for each place of the table
     chosen = counted.where((F.col("feature") >= 0) & (F.col("toxic") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (F.col("toxic") - expected >= LEAST_SIGMA * F.sqrt(expected))).select("feature").toPandas()["feature"].to_numpy(np.int64)
     chosen = np.sort(chosen)
+    # one row for each labelled document that is there: its label and its shortest text's length
+    sized = shared.table(texts.join(known, "label_id").groupBy("label_id").agg(F.max("toxic").alias("toxic"), F.min(F.length("text")).alias("size")), "sized")
     ids = None
     for y in (0, 1):
-        some = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+        some = sized.where(F.col("toxic") == y)
+        short = some.where(F.col("size") <= SAMPLE_CHARS)
+        # long documents take part by their beginnings if a label has no others
+        some = (some if short.isEmpty() else short).orderBy(F.xxhash64("label_id"), "label_id").limit(sample).select("label_id", "toxic")
         ids = some if ids is None else ids.unionByName(some)
     # at most `sample` ids of each label, and so many bounded texts
-    picked = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "label_id").orderBy("label_id").select("text", "toxic").limit(2 * sample).collect()
-    if len({r.toxic for r in picked}) < 2:
-        return empty
+    shortest = F.min(F.struct(F.length("text").alias("size"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))).alias("x")
+    picked = texts.join(F.broadcast(ids), "label_id").groupBy("label_id", "toxic").agg(shortest).orderBy("label_id").select("x.text", "toxic").collect()
     sampled, label = [r.text for r in picked], np.array([r.toxic for r in picked])
     position = np.full((1 << TABLE_BITS) + 1, -1, np.int64)
     position[chosen] = np.arange(len(chosen))
