@@ -221,12 +221,31 @@ def test_sample_is_taken_from_usable_documents(spark, monkeypatch):
     assert right(docs.withColumn("text", F.when(first, F.repeat("text", 9)).otherwise(F.col("text"))), labels) > 0.95
     assert right(docs.withColumn("text", F.when(~first, F.col("text"))), labels) > 0.95
     assert right(docs.where(~first), labels) > 0.95
-    # an id that is repeated more often than the sample is large
-    assert right(docs.unionByName(documents(spark, ["wort1 wort2"] * 40, [-5] * 40)), labels.unionByName(spark.createDataFrame([(-5, 1, 0)], labels.schema))) > 0.95
+    # an id that is repeated more often than the sample is large, and is not held out
+    assert right(docs.unionByName(documents(spark, ["wort1 wort2"] * 40, [-1] * 40)), labels.unionByName(spark.createDataFrame([(-1, 1, 0)], labels.schema))) > 0.95
     # all documents of a label are long
     assert right(docs.join(labels, "doc_id").withColumn("text", F.when(F.col("toxic") == 1, F.repeat(F.concat("text", F.lit(" ")), 9)).otherwise(F.col("text"))).select(docs.columns), labels) > 0.95
 
 
+def test_chain_is_fitted_in_pieces_of_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    assert (toxicity.SAMPLE, toxicity.SAMPLE_CHARS) >= (1000, 20_000) and toxicity.SAMPLE_CHARS >= 20_000
+    rng = np.random.default_rng(8)
+    n = np.append(rng.integers(0, 3000, 800), [0, 0])
+    hits = np.minimum(n, rng.integers(0, 9, len(n)))
+    at = np.concatenate([np.sort(rng.choice(max(k, 1), h, replace=False)) for k, h in zip(n, hits)])
+    f, label = rng.integers(0, 7, len(at)), rng.integers(0, 2, len(n))
+    tracemalloc.start()
+    cut = toxicity._fit_chain(toxicity._pieces(n, hits, at, f, label), 7, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 < 200 * n.sum()
+    monkeypatch.setattr(toxicity, "CHAIN", 1 << 40)
+    pieces = toxicity._pieces(n, hits, at, f, label)
+    assert len(pieces) == 1 and all(np.allclose(a, b) for a, b in zip(cut, toxicity._fit_chain(pieces, 7, 2)))
+
+
 # 3
 
 

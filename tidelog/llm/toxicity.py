@@ -27,8 +27,10 @@ from tidelog.llm import shared, words
 #: Size of the table of hashed features, and so of what is broadcast.
 TABLE_BITS = 21
 #: Labelled documents of each class that the chain is fitted on, and the length of the longest of them in characters.
-SAMPLE = 400
-SAMPLE_CHARS = 10_000
+SAMPLE = 1000
+SAMPLE_CHARS = 20_000
+#: Tokens of the sample, about, that messages are held for at once.
+CHAIN = 1 << 17
 #: Labels that are broadcast at most.
 BROADCAST_LABELS = 1_000_000
 #: A feature points to toxic tokens from this log-odds ratio of document frequencies and so many toxic documents.
@@ -188,34 +190,88 @@ def summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n), np.log(most / (1 - most)) / 5, np.log1p(total[bounds[1:]] - total[bounds[:-1]])], 1)
 
 
-def _fit_chain(f: np.ndarray, y: np.ndarray, bounds: np.ndarray, rounds: int) -> tuple:
-    """Maximum likelihood with a small quadratic penalty, by Adam.
+def _tokens(shared_chosen):
+    """The chosen features of each text as ``(place of the token, number of the feature)``, and its number of tokens."""
 
-    ``f`` holds columns of the chosen features, -1 for none.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = shared_chosen.value
+        position = np.full((1 << TABLE_BITS) + 1, -1, np.int32)  # the last place is for features that a word lacks
+        position[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            n, sizes, at, of = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for _, _, s, bounds in _groups(batch.column(2).to_pylist()):
+                f = position[features(s)]
+                token, kind = np.nonzero(f >= 0)
+                cut = np.searchsorted(token, bounds)
+                n.extend(np.diff(bounds).tolist())
+                sizes.extend(np.diff(cut).tolist())
+                at.append((token - np.repeat(bounds[:-1], np.diff(cut))).astype(np.int32))
+                of.append(f[token, kind])
+            offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in (at, of)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *lists], ["label_id", "toxic", "n", "at", "f"])
+
+    return run
+
+
+@dataclass
+class Piece:
+    """Some chains of the sample: bounds, the tokens and numbers of their chosen features, and token labels."""
+
+    bounds: np.ndarray
+    at: np.ndarray
+    f: np.ndarray
+    y: np.ndarray
+
+    def emission(self, w: np.ndarray, bias: float) -> np.ndarray:
+        return np.bincount(self.at, weights=w[self.f], minlength=len(self.y)) + bias
+
+
+def _pieces(n: np.ndarray, hits: np.ndarray, at: np.ndarray, f: np.ndarray, label: np.ndarray) -> list[Piece]:
+    """All documents, in pieces of about ``CHAIN`` tokens; a document is never cut.
+
+    ``n`` and ``hits`` are each document's tokens and chosen features, ``at`` counts from a document's start.
     """
-    size = int(f.max(initial=-1)) + 1
-    w, bias, trans, start = np.zeros(size), -3.0, np.zeros((2, 2)), np.zeros(2)
-    params = [w, np.array([bias]), trans, start]
-    m1, m2 = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    n = max(len(y), 1)
-    first = np.zeros(len(y), bool)
-    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    bounds, cuts = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(hits)])
+    out, lo = [], 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + CHAIN, side="right")) - 1)
+        part = slice(cuts[lo], cuts[hi])
+        here = at[part] + np.repeat(bounds[lo:hi] - bounds[lo], hits[lo:hi])
+        y = np.zeros(bounds[hi] - bounds[lo], bool)
+        y[here[np.repeat(label[lo:hi] == 1, hits[lo:hi])]] = True
+        out.append(Piece(bounds[lo : hi + 1] - bounds[lo], here, f[part], y))
+        lo = hi
+    return out
+
+
+def _gradient(piece: Piece, params: list[np.ndarray]) -> list[np.ndarray]:
+    """Gradient of one piece's log-likelihood; it holds messages of this piece only."""
+    w, bias, trans, start = params
+    first = np.zeros(len(piece.y), bool)
+    first[piece.bounds[:-1][np.diff(piece.bounds) > 0]] = True
     inner = np.flatnonzero(~first)
+    y = piece.y.astype(np.int64)
     seen = np.bincount(y[inner - 1] * 2 + y[inner], minlength=4).reshape(2, 2)
-    ok = f >= 0
-    flat = f[ok]
-    repeat = ok.sum(1)
+    e = piece.emission(w, bias[0])
+    p, forward, back = marginals(e, trans, start, piece.bounds)
+    d = y - p
+    pair = forward[inner - 1][:, :, None] * np.exp(trans)[None] * (np.stack([np.ones(len(inner)), np.exp(np.clip(e[inner], -30, 30))], 1) * back[inner])[:, None, :]
+    pair /= pair.sum((1, 2), keepdims=True)
+    return [np.bincount(piece.f, weights=d[piece.at], minlength=len(w)), np.array([d.sum()]), seen - pair.sum(0), np.array([-d[first].sum(), d[first].sum()])]
+
+
+def _fit_chain(pieces: list[Piece], size: int, rounds: int) -> list[np.ndarray]:
+    """Maximum likelihood with a small quadratic penalty, by Adam, for ``size`` weights."""
+    params = [np.zeros(size), np.array([-3.0]), np.zeros((2, 2)), np.zeros(2)]
+    penalty = (0.1, 0.0, 0.1, 0.1)
+    m1, m2 = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
+    n = max(sum(len(x.y) for x in pieces), 1)
     for step in range(1, rounds + 1):
-        w, bias, trans, start = params
-        padded = np.append(w, 0.0)
-        e = padded[f].sum(1) + bias[0]
-        p, forward, back = marginals(e, trans, start, bounds)
-        d = (y - p) * 1.0
-        grad_w = np.bincount(flat, weights=np.repeat(d, repeat), minlength=size)
-        pair = forward[inner - 1][:, :, None] * np.exp(trans)[None] * (np.stack([np.ones(len(inner)), np.exp(np.clip(e[inner], -30, 30))], 1) * back[inner])[:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        first_p = p[first]
-        grads = [grad_w - 0.1 * w, np.array([d.sum()]), seen - pair.sum(0) - 0.1 * trans, np.array([(1 - y[first] - (1 - first_p)).sum(), (y[first] - first_p).sum()]) - 0.1 * start]
+        grads = [-c * x for c, x in zip(penalty, params, strict=True)]
+        for piece in pieces:
+            if len(piece.y):
+                grads = [a + b for a, b in zip(grads, _gradient(piece, params), strict=True)]
         for k, g in enumerate(grads):
             g = g / n * 1000
             m1[k] = 0.9 * m1[k] + 0.1 * g
@@ -279,23 +335,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
         ids = some if ids is None else ids.unionByName(some)
     # at most `sample` ids of each label, and so many bounded texts
     shortest = F.min(F.struct(F.length("text").alias("size"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))).alias("x")
-    picked = texts.join(F.broadcast(ids), "label_id").groupBy("label_id", "toxic").agg(shortest).orderBy("label_id").select("x.text", "toxic").collect()
-    sampled, label = [r.text for r in picked], np.array([r.toxic for r in picked])
-    position = np.full((1 << TABLE_BITS) + 1, -1, np.int64)
-    position[chosen] = np.arange(len(chosen))
-    fs, bs, at = [], [0], 0
-    for _, _, s, bounds in _groups(sampled):
-        fs.append(position[features(s)].astype(np.int32))
-        bs.extend((bounds[1:] + at).tolist())
-        at += len(s.starts)
-    f, bounds = np.concatenate(fs), np.array(bs)
-    owner = np.repeat(np.arange(len(label)), np.diff(bounds))
-    y = ((f >= 0).any(1) & (label[owner] == 1)).astype(np.int64)
-    w, bias, trans, start = _fit_chain(f, y, bounds, rounds)
-    p, _, _ = marginals(np.append(w, 0.0)[f].sum(1) + bias[0], trans, start, bounds)
+    picked = texts.join(F.broadcast(ids), "label_id").groupBy("label_id", "toxic").agg(shortest).select("label_id", "toxic", "x.text")
+    # tasks read the texts; the driver gets the tokens with chosen features only
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+    read = picked.mapInArrow(_tokens(sent), "label_id long, toxic int, n long, at array<int>, f array<int>").orderBy("label_id").toArrow().combine_chunks()
+    n, label, at, f = (read.column(c).combine_chunks() for c in ("n", "toxic", "at", "f"))
+    n, label, hits = n.to_numpy(), label.to_numpy(), at.value_lengths().to_numpy()
+    pieces = _pieces(n, hits, at.flatten().to_numpy().astype(np.int64), f.flatten().to_numpy(), label)
+    w, bias, trans, start = _fit_chain(pieces, len(chosen), rounds)
+    x = np.concatenate([summary(marginals(p.emission(w, bias[0]), trans, start, p.bounds)[0], p.bounds) for p in pieces])
     share = np.array([n0, n1]) / (n0 + n1) / np.maximum(np.bincount(label, minlength=2), 1)
-    scale = _logistic(summary(p, bounds), label, share[label] * len(label))
-    return Model(chosen, w.astype(np.float32) if len(w) else np.zeros(len(chosen), np.float32), float(bias[0]), trans, start, scale)
+    scale = _logistic(x, label, share[label] * len(label))
+    return Model(chosen, w.astype(np.float32), float(bias[0]), trans, start, scale)
 
 
 def _pad(model: Model) -> Model:
