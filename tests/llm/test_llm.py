@@ -524,6 +524,11 @@ def test_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_raw_elements_end_where_they_do_in_the_page():
+    page = html_text.Page("\u0130" * 30 + "<ScRiPt>var x = '<p>';</sCrIpT><p>kept text of the article</p><p>more</p>")
+    assert [t for _, t, _ in page.pieces] == ["\u0130" * 30, "kept text of the article", "more"]
+
+
 def test_tree_marginals_equal_enumeration(spark):
     model = html_text.fit(table(spark, "pages"))
     page = html_text.Page("<body><nav><a>x</a></nav><article><p>Text, here.</p><p>b</p></article></body>")

@@ -33,6 +33,8 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-label)\s*(?:=\s*(?:\"([^\"]*)\"|
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page.
 _RAW = frozenset("script style noscript template textarea title iframe object svg math xmp noembed noframes select".split())
+#: Their closing tags, searched in the page itself: lower case may have another length.
+_RAW_END = {name: re.compile("</" + name, re.I | re.A) for name in _RAW}
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -59,7 +61,6 @@ class Page:
         self.tag, self.parent, self.names = ["#root"], [-1], [frozenset()]
         self.pieces: list[tuple[int, str, bool]] = []  # element, text, starts a block
         stack, at, block = [0], 0, True
-        low = None
         for m in _TAG.finditer(source):
             if m.start() < at:
                 continue
@@ -91,12 +92,11 @@ class Page:
                     found.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
             self.names.append(frozenset(found))
             if name in _RAW:
-                low = low if low is not None else source.lower()
-                end = low.find("</" + name, at)
-                if end < 0:
+                end = _RAW_END[name].search(source, at)
+                if not end:
                     at = len(source)
                     break
-                close = source.find(">", end)
+                close = source.find(">", end.end())
                 at = close + 1 if close >= 0 else len(source)
             elif name not in _VOID and not m[3].rstrip().endswith("/"):
                 stack.append(len(self.tag) - 1)
