@@ -524,6 +524,21 @@ def test_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_weights_are_learned_and_attributes_read_by_whole_name(spark):
+    for mark in ("style='overflow:hidden'", "href='/hidden-gems'", "class='overflow-hidden'", "class='post comments-open'", "data-role=menu", "aria-hidden=false", "title='a class=nav b'"):
+        assert not html_text.Page(f"<div {mark}>x</div>").boiler(1), mark
+    for mark in ("hidden", "class='x' HIDDEN=''", "class='site-footer'", "id=sidebarLeft", "ROLE=navigation", "class=comments"):
+        assert html_text.Page(f"<div {mark}>x</div>").boiler(1), mark
+    model = html_text.fit(table(spark, "pages"))
+    assert -20 < model.known["tag=nav"] < -3 and -20 < model.known["names=boiler"] < -3
+    short = "<p>Kept, all of it. Short.</p>"
+    for mark in ("style='overflow:hidden'", "class='post comments-open'"):
+        assert model.extract(f"<body><nav><a href=x>Home</a></nav><article {mark}>Own text, too. {short}</article></body>") == model.extract(f"<body><nav><a href=x>Home</a></nav><article>Own text, too. {short}</article></body>") == "Own text, too. Kept, all of it. Short."
+    # a listed tag that no page shows weighs what those that are shown weigh
+    shown = html_text.fit(pages(spark, ["<main><p>Text, with a stop.</p></main><form>a</form>"] * 5))
+    assert shown.known["tag=form"] == shown.known["tag=nav"] != model.known["tag=form"]
+
+
 def test_raw_elements_end_where_they_do_in_the_page():
     page = html_text.Page("\u0130" * 30 + "<ScRiPt>var x = '<p>';</sCrIpT><p>kept text of the article</p><p>more</p>")
     assert [t for _, t, _ in page.pieces] == ["\u0130" * 30, "kept text of the article", "more"]

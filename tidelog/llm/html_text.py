@@ -29,7 +29,10 @@ SAMPLE = 2000
 FEATURES = 5000
 SMOOTH = 0.1
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-label)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/\"'<>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Attributes whose values name an element; a value with one of these words tells of a state, not what the element is.
+_NAMING = frozenset("class id role aria-label".split())
+_STATES = frozenset("no has with without open opened closed enabled disabled on off".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page.
 _RAW = frozenset("script style noscript template textarea title iframe object svg math xmp noembed noframes select".split())
@@ -43,10 +46,8 @@ _CLOSES_P = _BLOCK - {"br", "button", "option", "html", "body", "head", "title"}
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _BOILER_TAGS = frozenset("nav header footer aside form menu dialog button head label fieldset".split())
 _BOILER_NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner notice notices alert cookie cookies consent gdpr popup modal newsletter subscribe signup login comment comments respond reply replies disqus share sharing social related recommended recommendations widget toolbar pagination pager copyright legal tags hidden form search skip".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner notice notices alert cookie cookies consent gdpr popup modal newsletter subscribe signup login comment comments respond reply replies disqus share sharing social related recommended recommendations widget toolbar pagination pager copyright legal tags @hidden form search skip".split()
 )
-#: Log-odds of elements that hold no main text wherever they stand.
-PRIOR = {"tag=": 0.0, "names=boiler": -20.0} | {f"tag={t}": -20.0 for t in _BOILER_TAGS}
 _CONTENT_NAMES = frozenset("article content main post entry story text body page".split())
 
 
@@ -88,8 +89,14 @@ class Page:
             found = set()
             if m[3]:
                 for a in _ATTR.finditer(m[3]):
-                    value = a[2] or a[3] or a[4] or a[1]
-                    found.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                    kind = a[1].lower()
+                    if kind == "hidden":
+                        found.add("@hidden")
+                    elif kind in _NAMING:
+                        for value in (a[2] or a[3] or a[4] or "").split():
+                            parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+                            if _STATES.isdisjoint(parts):
+                                found.update(parts)
             self.names.append(frozenset(found))
             if name in _RAW:
                 end = _RAW_END[name].search(source, at)
@@ -181,7 +188,12 @@ class Model:
             a, b = counts[feature]
             return math.log((b + SMOOTH) / (content + SMOOTH * kinds)) - math.log((a + SMOOTH) / (boiler + SMOOTH * kinds))
 
-        self.known = {f: ratio(f) for f in counts if "=" in f} | PRIOR
+        self.known = {f: ratio(f) for f in counts if "=" in f}
+        # a listed tag that no page shows has the weight of all listed tags
+        listed = [f"tag={t}" for t in _BOILER_TAGS]
+        counts = counts | {"listed": tuple(sum(counts.get(f, (0, 0))[y] for f in listed) for y in (0, 1))}
+        if sum(counts["listed"]):
+            self.known = dict.fromkeys(listed, ratio("listed")) | self.known
         self.pooled = tuple((counts.get(f"edge{y}", (0, 0))[1] + 0.5 * (1 + y)) / (sum(counts.get(f"edge{y}", (0, 0))) + 2.0) for y in (0, 1))
         self.by_tag: dict[str, tuple[float, float]] = {}
         for t in {f.split(":", 1)[1] for f in counts if f.startswith("edge") and ":" in f}:
