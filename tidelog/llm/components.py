@@ -38,7 +38,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        old = edges
         edges, after = _kept(small, name)
+        shared.drop(old)
         if after == before:
             break
         before = after

@@ -1,29 +1,23 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-The order of all shingles is the order of their 64-bit hashes. Cut into F
-ranges, it gives every document F fragments. Two sets with Jaccard similarity
-of at least p/q differ in at most D = (n1 + n2)(q - p)/(q + p) shingles, so at
-least F - D fragments are equal in both. A document sends one signature for
-each fragment, and only documents that share enough signatures are compared. A
-comparison counts the overlap of each fragment of the order separately and sums
-the counts of the pair.
-
-F follows from the size of the set. Sizes are cut into bands; a set that can be
-similar to sets of the next band also sends that band's signatures. F exceeds D
-by the signatures that a pair must share at least, and by some empty fragments,
-which are not sent.
-
-Shingles that many documents share (of licence lines, headings, passages) would
-bring unlike documents together. Any cut of the order serves, if it is the same
-for all, so those shingles have a fragment of their own, which is never sent.
-Which they are is counted over all documents, in a table of fixed size. A
-document with too many empty fragments, as it has little but frequent shingles,
-sends the fragments of the plain cut as well; two such documents meet there.
+The order of all shingles puts those that many documents share (of licence
+lines, headings, passages) last and goes by 64-bit hashes otherwise. Which are
+frequent is counted over all documents, in a table of fixed size. Cut into
+ranges, the order gives every document its fragments; a comparison counts the
+overlap of each fragment separately and sums the counts of the pair.
+
+Only documents that meet at the front of the order are compared. A set of n
+shingles has ceil(p n / q) in common with any set that it links to, so the
+first n - ceil(p n / q) + s of each hold at least s common ones; those are
+sent, and s grows with n. Shingles that one set alone sent go, and so do sets
+that are left with fewer than they need. Of what is left a set keeps the
+rarest, so many that a pair with enough in common still meets in one.
 
 Exact copies of a set are one node. Large groups are never expanded into all
-pairs: each signature links its members to its least one, links that hold are
+pairs: each shingle links its members to its least one, links that hold are
 contracted, and only members that are then still apart are compared, those of
-large signatures in blocks.
+frequent shingles in blocks. A frequent shingle's members are dealt over many
+keys first.
 """
 
 from __future__ import annotations
@@ -44,17 +38,21 @@ from tidelog.llm.components import components
 PLACE_BITS = 22
 FREQUENT_SHARE = 0.001
 FREQUENT_LEAST = 8
-#: Times that nodes with too few common signatures are taken out; more would only leave fewer to compare.
+#: Members of the most frequent shingles are dealt over so many keys at most, as a power of 2.
+MOST_SALTS = 12
+#: Times that nodes with too few common shingles are taken out; more would only leave fewer to compare.
 ROUNDS = 2
 #: Up to so many nodes a table of bits tells tasks which documents' shingles are needed; more are joined.
 FILTER_NODES = 1 << 19
-#: Members of a signature up to which its pairs across components are counted one by one; of larger ones they are counted in blocks.
+#: Members of a shingle up to which its pairs across components are counted one by one; of larger ones they are counted in blocks.
 FEW = 32
 #: Ranges of the shingle order in which overlaps are counted.
 FRAGMENTS = 16
 #: A block of the last comparison holds about so many sets and shingles at most.
 BLOCK_SETS = 512
 BLOCK_GRAMS = 1 << 20
+#: Keys that the members of one group are dealt over when they look up its size.
+GROUP_SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -65,39 +63,23 @@ class Rule:
     p: int = 90
     q: int = 100
 
-    def bands(self) -> np.ndarray:
-        """Lower ends of the bands of set sizes, the same for every document."""
-        ends, x = [1], 1
-        while x < 1 << 36:
-            x = max(x + 1, -(-x * self.q**2 // self.p**2))
-            ends.append(x)
-        return np.array(ends, np.int64)
+    def common(self, n: np.ndarray) -> np.ndarray:
+        """Shingles that a set of ``n`` has in common at least with one that it links to."""
+        return -(-n * self.p // self.q)
 
-    def differ(self, largest: np.ndarray) -> np.ndarray:
-        """Shingles in which linked sets of at most ``largest`` each differ at most."""
-        return 2 * largest * (self.q - self.p) // (self.q + self.p)
+    def shared(self, n: np.ndarray) -> np.ndarray:
+        """Of those, how many a set of ``n`` is to send at least."""
+        return 1 + n * (self.q - self.p) // self.q // 2
 
-    def shared(self, largest: np.ndarray) -> np.ndarray:
-        """Signatures that linked sets share at least."""
-        return 1 + self.differ(largest) // 12
+    def sent(self, n: np.ndarray) -> np.ndarray:
+        """Shingles that a set of ``n`` sends; none if it links to equal sets only."""
+        alone = (self.common(n) == n) & (n * self.q // self.p == n)
+        return np.where(alone, 0, n - self.common(n) + self.shared(n))
 
-    def cuts(self, largest: np.ndarray) -> np.ndarray:
-        return -(-(self.differ(largest) + self.shared(largest) + 1) * 8 // 7)
-
-    def blanks(self, largest: np.ndarray) -> np.ndarray:
-        """Empty fragments that may be left out."""
-        return self.cuts(largest) - self.differ(largest) - self.shared(largest)
-
-    def needed(self, band: Column, n: Column) -> Column:
-        """Signatures of a band that a set of ``n`` shingles shares with any set that it links to.
-
-        Of the band's fragments those that differ go, as many as with the
-        largest such set, and the empty ones that are left out.
-        """
-        top = self.bands()[1:] - 1
-        kept = [int(x) for x in self.cuts(top) - self.blanks(top)]
-        other = F.least(F.floor(n * self.q / self.p), F.element_at(F.lit([int(x) for x in top]), band + 1))
-        return F.element_at(F.lit(kept), band + 1) - F.floor((n + other) * (self.q - self.p) / (self.q + self.p))
+    def needed(self, n: Column) -> Column:
+        """Sent shingles that a set of ``n`` shares with any set that it links to: what the least of them shares."""
+        least = F.ceil(n * self.p / self.q)
+        return 1 + F.floor(F.floor(least * (self.q - self.p) / self.q) / 2)
 
     def linked(self, both: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
         return self.q * both >= self.p * (n1 + n2 - both)
@@ -148,85 +130,76 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (words.mix(h) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
 
-def _signatures(rule: Rule, frequent):
+def _front(rule: Rule, frequent):
+    """``(sig, salt, node)`` for the shingles at the front of each set; those of frequent places are dealt over ``salt``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a set send it once a task
-        hot = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).view(bool)
-        ends = rule.bands()
+        level = np.frombuffer(frequent.value, np.uint8)
         for batch in batches:
-            for _, count, h, at, nodes in _sets(batch.column(0).to_pylist(), rule.k):
+            for _, _, h, at, nodes in _sets(batch.column(0).to_pylist(), rule.k):
                 n = np.diff(at)
-                fresh = np.zeros(len(n), bool)
-                for i, node in enumerate(nodes.tolist()):
-                    if n[i] and node not in seen:
+                send = rule.sent(n)
+                for i in np.flatnonzero(send):
+                    if (node := int(nodes[i])) in seen:
+                        send[i] = 0
+                    else:
                         seen.add(node)
-                        fresh[i] = True
-                if not fresh.any():
+                keep = np.repeat(send > 0, n)
+                if not keep.any():
                     continue
-                band = np.searchsorted(ends, n, side="right") - 1
-                owner = np.repeat(np.arange(count), n)
-                rare = ~hot[_place(h)]
-                out = []
-                for up in (0, 1):
-                    send = fresh & (band >= 0)
-                    if up:
-                        send &= rule.q * n >= rule.p * ends[band + 1]
-                    largest = ends[band + up + 1] - 1
-                    # sets that cannot differ at all are one node already
-                    send &= rule.differ(largest) > 0
-                    spare = rule.blanks(largest)
-                    cut = rule.cuts(largest)
-                    rows, blank = _fragments(h[rare], owner[rare], nodes, send, cut, band + up, 0, None)
-                    out.append(rows)
-                    out.append(_fragments(h, owner, nodes, send & (blank > spare), cut, band + up, 1, spare)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["sig", "node"])
+                n, send, nodes, h = n[send > 0], send[send > 0], nodes[send > 0], h[keep]
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                owner = np.repeat(np.arange(len(n)), n)
+                parts = level[_place(h)]
+                rare = np.concatenate([[0], np.cumsum(parts == 0)])
+                before = rare[:-1] - rare[bounds[:-1]][owner]
+                place = np.where(parts == 0, before, np.diff(rare[bounds])[owner] + np.arange(len(h)) - bounds[:-1][owner] - before)
+                keep = place < send[owner]
+                node, parts = nodes[owner[keep]], parts[keep].astype(np.uint64)
+                salt = node & ((np.uint64(1) << parts) - np.uint64(1))
+                # frequent shingles have salts from 1 on
+                salt = np.where(parts > 0, salt + np.uint64(1), np.uint64(0)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(salt), pa.array(node.view(np.int64))], ["sig", "salt", "node"])
 
     return run
 
 
-def _fragments(h, owner, nodes, send, cut, band, family: int, spare) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """``(signatures, nodes)`` of the fragments that are not empty, and each document's number of empty ones.
+def _levels(counts: pd.DataFrame, documents: int) -> bytes:
+    """A byte for each place: 0, or the power of 2 that its shingles' members are dealt over."""
+    out = np.zeros(1 << PLACE_BITS, np.uint8)
+    share = counts["n"].to_numpy(np.float64) / max(FREQUENT_LEAST, FREQUENT_SHARE * documents)
+    out[counts["place"].to_numpy(np.int64)] = np.clip(np.ceil(np.log2(np.maximum(share, 1))), 1, MOST_SALTS)
+    return out.tobytes()
 
-    With ``spare``, a document with more empty fragments than that sends them
-    too. A signature's lowest seven bits are its band.
-    """
-    count = len(send)
-    cuts = np.where(send, cut, 0)
-    keep = send[owner]
-    g, owner = h[keep], owner[keep]
-    place = ((g >> np.uint64(32)) * cut[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    # fragments of one document follow one another, as its shingles are in order
-    base = np.concatenate([[0], np.cumsum(cuts)])
-    bounds = np.searchsorted(base[owner] + place, np.arange(base[-1] + 1))
-    of = np.repeat(np.arange(count), cuts)
-    place = np.arange(base[-1]) - base[of]
-    filled = np.diff(bounds) > 0
-    blank = np.bincount(of, weights=~filled, minlength=count)
-    if spare is not None:
-        filled |= (blank > spare)[of]
-    sig = words.mix(_sums(words.mix(g), bounds) + words.mix(place.astype(np.uint64) * np.uint64(1 << 20) + (2 * band[of] + family).astype(np.uint64)))
-    sig = sig & ~np.uint64(127) | band[of].astype(np.uint64)
-    return (sig[filled].view(np.int64), nodes[of][filled].view(np.int64)), blank
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (sig, node): each further node of a signature with its least one."""
-    last_sig, last_node, leader = None, None, None
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (sig, salt, node): those of each salted shingle and of each other one with several nodes, once each."""
+    last, leader, alone = None, 0, True
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, node = (batch.column(i).to_numpy() for i in (0, 1))
+        sig, salt, node = (batch.column(i).to_numpy() for i in range(3))
         start = np.ones(len(sig), bool)
-        start[1:] = sig[1:] != sig[:-1]
-        start[0] = last_sig is None or sig[0] != last_sig
+        start[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
+        start[0] = last is None or (sig[0], salt[0]) != last[:2]
         again = np.zeros(len(sig), bool)
         again[1:] = ~start[1:] & (node[1:] == node[:-1])
-        again[0] = not start[0] and node[0] == last_node
+        again[0] = not start[0] and node[0] == last[2]
+        keep = ~again & ((salt > 0) | ~start)
         at = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
-        head = np.where(at >= 0, node[np.maximum(at, 0)], leader if leader is not None else 0)
-        keep = ~start & ~again & (node != head)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(head[keep]), pa.array(node[keep])], ["sig", "a", "b"])
-        last_sig, last_node, leader = sig[-1], node[-1], head[-1]
+        follow = np.flatnonzero(keep & (salt == 0))
+        # the first node of a shingle goes out with its second
+        group, first = np.unique(at[follow], return_index=True)
+        led = follow[first][(group >= 0) | alone]
+        group = group[(group >= 0) | alone]
+        lead = np.where(group >= 0, node[np.maximum(group, 0)], leader)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[keep], sig[led]])), pa.array(np.concatenate([node[keep], lead.astype(np.int64)]))], ["sig", "node"])
+        inside = at == at[-1]
+        alone = not (keep & inside).any() and (alone or at[-1] >= 0)
+        if at[-1] >= 0:
+            leader = node[at[-1]]
+        last = (sig[-1], salt[-1], node[-1])
 
 
 def _gram_rows(k: int, wanted=None):
@@ -333,33 +306,29 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     both = shared.table(fingerprints(source, rule.k), "sets")
     prints = both.where("place is null").drop("place")
+    sizes = prints.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
     documents = prints.count()
-    # at most a bit for each place is broadcast
+    # at most a byte for each place is broadcast
     often = both.where("place is not null").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= max(FREQUENT_LEAST, FREQUENT_SHARE / 2 * documents))
-    frequent = np.zeros(1 << PLACE_BITS, np.uint8)
-    frequent[often.select("place").toPandas()["place"].to_numpy(np.int64)] = 1
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent).tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast(_levels(often.toPandas(), documents))
     usable = source.where("doc_id is not null and text is not null")
 
-    # 1. Signatures of fragments; members of a signature meet at its least node.
-    rows = usable.select("text").mapInArrow(_signatures(rule, sent), "sig long, node long")
-    stars = rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, a long, b long")
-    stars = shared.table(stars, "stars")
-    member = stars.select("sig", F.col("a").alias("node")).distinct().unionByName(stars.select("sig", F.col("b").alias("node")))
-    # a link takes several common signatures of one band: nodes and signatures with fewer members go
-    sizes = prints.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    needed = rule.needed(F.col("band"), F.col("n"))
+    # 1. Shingles at the front of each set, and their members.
+    rows = usable.select("text").mapInArrow(_front(rule, sent), "sig long, salt int, node long")
+    member = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "node").mapInArrow(_members, "sig long, node long")
+    member = shared.table(member, "members")
     for _ in range(ROUNDS):
-        member = member.select("sig", "node").withColumn("band", F.col("sig").bitwiseAND(127).cast("int"))
-        enough = member.groupBy("node", "band").agg(F.count(F.lit(1)).alias("sigs")).join(sizes, "node").withColumn("spare", F.col("sigs") - needed).where("spare >= 0")
-        member = shared.table(member.join(enough.select("node", "band", "spare"), ["node", "band"]).select("sig", "node", "band", "spare"), "members")
-        often = member.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-        member = member.join(often, "sig")
-    # of a node's signatures those that it need not share suffice, and one more: the rarest
-    order = Window.partitionBy("node", "band").orderBy("times", "sig")
-    member = shared.table(member.withColumn("place", F.row_number().over(order)).where("place <= spare + 1").select("sig", "node"), "members")
-    member = member.join(member.groupBy("sig").agg(F.min("node").alias("a")), "sig")
-    stars = shared.table(member.where("node <> a").select("sig", "a", F.col("node").alias("b")), "stars")
+        spare = (F.col("sigs") - rule.needed(F.col("n"))).alias("spare")
+        enough = member.groupBy("node").agg(F.count(F.lit(1)).alias("sigs")).join(sizes, "node").select("node", spare).where("spare >= 0")
+        left = member.select("sig", "node").join(enough, "node")
+        left = left.join(left.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "sig")
+        member = shared.replace(member, left, "members")
+    # of a node's shingles those that it need not share suffice, and one more: the rarest
+    order = Window.partitionBy("node").orderBy("times", "sig")
+    left = member.withColumn("place", F.row_number().over(order)).where("place <= spare + 1").select("sig", "node")
+    member = shared.replace(member, left, "members")
+    stars = member.join(member.groupBy("sig").agg(F.min("node").alias("a")), "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = shared.table(stars, "stars")
 
     # 2. The shingles of the nodes that may be linked, from one document of each.
     nodes = shared.table(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
@@ -377,26 +346,34 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     # an id may stand on several texts, and a node on several documents: only nodes that were asked for, once each
     grams = grams.join(nodes, "node", "left_semi").dropDuplicates(["node", "fragment"])
     grams = shared.table(grams, "grams")
+    shared.drop(nodes)
 
     # 3. Stars that hold.
     sizes = grams.where("fragment = 0").select("node", "n")
-    links = shared.table(_verified(stars.select("a", "b"), grams, sizes, rule), "links")
+    links = shared.table(_verified(stars, grams, sizes, rule), "links")
     joined = components(links)
+    shared.drop(links, stars)
 
-    # 4. Signatures whose members are still apart: their pairs across components.
+    # 4. Shingles whose members are still apart: their pairs across components.
     label = joined.select("node", "component")
     held = member.select("sig", "node").join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
-    held = shared.table(held, "held")
+    held = shared.replace(member, held, "held")
     still = held.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     few = held.join(still.where(F.col("times") <= FEW).select("sig"), "sig")
     pairs = few.select("sig", F.col("node").alias("a"), F.col("c").alias("c_a")).join(few.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b")), "sig").where("a < b and c_a <> c_b")
     more = shared.table(_verified(pairs.select("a", "b"), grams, sizes, rule), "more")
     whole = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    # of larger signatures the members that are apart, in blocks
+    # of more frequent shingles the members that are apart, in blocks
     many = shared.table(held.join(still.where(F.col("times") > FEW).select("sig", "least"), "sig").select("node", "c", "least").distinct(), "apart")
+    shared.drop(held)
     if not many.isEmpty():
-        whole = whole.unionByName(_apart(many, grams, sizes, rule))
-    return _answer(prints, components(whole))
+        blocks = _apart(many, grams, sizes, rule)
+        last = components(whole.unionByName(blocks))
+        shared.drop(blocks)
+    else:
+        last = components(whole)
+    shared.drop(joined, more, many, grams)
+    return _answer(prints, last)
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
@@ -414,17 +391,22 @@ def _verified(pairs: DataFrame, grams: DataFrame, sizes: DataFrame, rule: Rule)
 
 
 def _apart(many: DataFrame, grams: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Links between components ``c`` of nodes that meet in a signature, given with its least component."""
+    """Links between components ``c`` of nodes that meet in a shingle, given with its least component."""
     groups = components(many.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")))
     member = many.select("node", F.col("c").alias("component")).distinct()
     member = member.join(groups.select(F.col("node").alias("component"), F.col("component").alias("group")), "component").join(sizes, "node")
     spread = member.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("parts"))
-    member = member.join(spread, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # a large group's members are dealt over many keys on their way to its number of parts
+    salts = F.explode(F.sequence(F.lit(0), F.lit(GROUP_SALTS - 1)))
+    member = member.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(0)), F.lit(GROUP_SALTS)).cast("int")).join(spread.withColumn("salt", salts), ["group", "salt"])
+    member = member.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # a pair of blocks (i <= j) gets the members of both
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     member = member.select("group", "node", "component", "part", F.explode(other).alias("o")).select("group", "node", "component", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
     work = member.join(grams, "node")
-    return shared.table(work.groupBy("group", "i", "j").applyInPandas(_blocks(rule), "a long, b long").distinct(), "blocks")
+    found = shared.table(work.groupBy("group", "i", "j").applyInPandas(_blocks(rule), "a long, b long").distinct(), "blocks")
+    shared.drop(groups)
+    return found
 
 
 def _answer(prints: DataFrame, joined: DataFrame) -> DataFrame:
@@ -443,5 +425,6 @@ def first_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B
     Documents without shingles or without an id all stay. Rows that repeat a
     kept id stay as often as they are there.
     """
-    labelled = jaccard_components(docs, rule).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(labelled, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = shared.unused(docs, "gone")
+    copies = jaccard_components(docs, rule).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, docs["doc_id"].cast("long") == F.col(gone), "left_anti").select(*docs.columns)

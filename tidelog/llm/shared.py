@@ -42,8 +42,34 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove what earlier operators left in the shared folder."""
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``table`` wrote and that nothing reads any more."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, file)
+
+
+def replace(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """Write ``new``, which may read ``old``, and remove ``old``."""
+    kept = table(new, name)
+    drop(old)
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/tidelog")
+    at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what earlier operators left in the shared folder."""
+    _delete(spark, f"{folder(spark)}/tidelog")
