@@ -1,10 +1,12 @@
 """Benchmark decontamination with a hash set of test n-grams.
 
-The benchmark's windows of ``width`` words are hashed, and each task scans its
-documents' windows against that set. Every hit is verified on the words
-themselves before it counts. The set is broadcast only up to ``SET_LIMIT``
-words of benchmark text at a time; a larger benchmark is scanned in several
-passes whose findings are joined per document.
+Items are cut into pieces of whole windows, and pieces are put together into
+parts of about ``PART`` bytes. A part's windows of ``width`` words are
+broadcast as sorted 64-bit hashes, each with the place of its words in the
+part's text. Each task looks its documents' windows up in them, and every hit
+is verified on the words themselves before it counts. Parts are applied one
+after the other in the same way, however many there are: a row carries what
+earlier parts have found.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ from pyspark.sql import functions as F
 from tidelog.llm import shared, words
 
 WIDTH = 10
-#: Bytes of benchmark text whose windows are broadcast in one pass.
-SET_LIMIT = 16 << 20
+#: Bytes of benchmark text, about, whose windows are broadcast at once; a window takes 20 bytes besides.
+PART = 16 << 20
+#: Words of a piece of an item at most.
+PIECE_WORDS = 1 << 16
+#: Parts that are applied in one job; then the rows found so far are written.
+PARTS_A_JOB = 4
 _BITS = 22
 
 
@@ -32,91 +38,141 @@ def _word_list(text: str | None) -> list[bytes]:
     return [data[a:b] for a, b in zip(s.starts.tolist(), s.ends.tolist(), strict=True)]
 
 
-class WindowSet:
-    """Windows of a bounded part of the benchmark, by their length in words."""
+def _cut_items(width: int):
+    """Pieces of items as words joined by spaces; neighbours share ``width - 1`` words, so each window lies in one piece."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
-        known: dict[int, dict[int, dict[bytes, set]]] = defaultdict(lambda: defaultdict(dict))
-        for item, text in items:
-            found = _word_list(text)
-            k = min(width, len(found))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _word_list(text)
+                for at in range(0, max(len(found) - width + 1, min(len(found), 1)), PIECE_WORDS):
+                    piece = b" ".join(found[at : at + PIECE_WORDS + width - 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.int64()), pa.array([piece], pa.binary())], ["item_id", "words"])
+
+    return run
+
+
+class WindowSet:
+    """Windows of a part of the benchmark, by their length in words: sorted hashes, where their words begin and end in the part's text, and their items."""
+
+    def __init__(self, pieces: list[tuple[int | None, bytes]], width: int):
+        self.items = [item for item, _ in pieces]
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        base, group, size = 0, [], 0
+        for k, (_, piece) in enumerate([*pieces, (None, b"")]):
+            if group and (k == len(pieces) or size + len(piece) > words.CHUNK):
+                self._add(found, group, k - len(group), base, width)
+                base, group, size = base + size, [], 0
+            group.append(piece)
+            size += len(piece) + 1
+        self.text = b" ".join(piece for _, piece in pieces)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for k, parts in found.items():
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.tables[k] = tuple(c[order] for c in columns)
+
+    @staticmethod
+    def _add(found: dict, group: list[bytes], first: int, base: int, width: int) -> None:
+        s = words.slices(b" ".join(group), words.ALNUM)
+        bounds = np.searchsorted(s.starts, np.cumsum([0, *(len(x) + 1 for x in group)]))
+        count, hashes = np.diff(bounds), s.hashes(s.starts, s.ends)
+        for k in np.unique(np.minimum(count, width)).tolist():
             if not k:
                 continue
-            s = words.slices(b" ".join(found), words.ALNUM)
-            h = words.windows(s.hashes(s.starts, s.ends), k)
-            for i, x in enumerate(h.tolist()):
-                known[k][x].setdefault(b" ".join(found[i : i + k]), set()).add(item)
-        self.known = {k: {x: {w: sorted(i for i in ids if i is not None) for w, ids in d.items()} for x, d in by.items()} for k, by in known.items()}
-
-    def arrays(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Sorted hashes of each length, with a bit table that rejects most others."""
+            h = words.windows(hashes, k)
+            owner = np.repeat(np.arange(len(group)), count)[: len(h)]
+            at = np.flatnonzero((np.minimum(count, width)[owner] == k) & (np.arange(len(h)) + k <= bounds[owner + 1]))
+            found[k].append((h[at], (base + s.starts[at]).astype(np.uint32), (base + s.ends[at + k - 1]).astype(np.uint32), (first + owner[at]).astype(np.int32)))
+
+    def bits(self) -> dict[int, np.ndarray]:
+        """For each length a table of bits that rejects most other windows."""
         out = {}
-        for k, by in self.known.items():
-            h = np.sort(np.array(list(by), np.uint64))
-            bits = np.zeros(1 << _BITS, bool)
-            bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            out[k] = h, bits
+        for k, (h, *_) in self.tables.items():
+            out[k] = np.zeros(1 << _BITS, bool)
+            out[k][(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         return out
 
+    def items_of(self, k: int, h: np.uint64, window: bytes) -> set | None:
+        """Items with just this window; None if no item has it."""
+        hashes, starts, ends, owners = self.tables[k]
+        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        same = {self.items[owners[i]] for i in range(lo, hi) if self.text[starts[i] : ends[i]] == window}
+        return same or None
+
+
+def _find(known: WindowSet, bits: dict[int, np.ndarray], texts: list) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
+    """Number of words, ranges of words that are hit, and items, of each text."""
+    for first, count, h, bounds in words.hashed(texts, words.ALNUM):
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        items: dict[int, set] = defaultdict(set)
+        split: dict[int, list[bytes]] = {}
+        for k, (sorted_h, *_) in known.tables.items():
+            w = words.windows(h, k)
+            at = np.flatnonzero(bits[k][(w >> np.uint64(64 - _BITS)).astype(np.int64)])
+            at = at[sorted_h[np.minimum(np.searchsorted(sorted_h, w[at]), len(sorted_h) - 1)] == w[at]]
+            of = np.searchsorted(bounds, at, side="right") - 1
+            inside = at + k <= bounds[of + 1]
+            for x, i in zip(at[inside].tolist(), of[inside].tolist(), strict=True):
+                if i not in split:
+                    split[i] = _word_list(texts[first + i])
+                start = x - int(bounds[i])
+                found = known.items_of(k, w[x], b" ".join(split[i][start : start + k]))
+                if found:
+                    hits[i].append((start, start + k))
+                    items[i] |= found
+        for i in range(count):
+            yield int(bounds[i + 1] - bounds[i]), hits.get(i, []), items.get(i, set())
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _map(sent, text: int):
+    """Adds what one part finds to the last three columns; ``text`` is the place of the texts."""
 
-def _scan(known, width: int):
-    """``(n_words, spans of hit words, items)`` of each text."""
-
-    def texts(batch: list, tables: dict) -> Iterator[tuple[int, list[list[int]], list]]:
-        for first, count, h, bounds in words.hashed(batch, words.ALNUM):
-            hits: dict[int, list[tuple[int, int, list]]] = defaultdict(list)
-            split: dict[int, list[bytes]] = {}
-            for k, (sorted_h, bits) in tables.items():
-                w = words.windows(h, k)
-                at = np.flatnonzero(bits[(w >> np.uint64(64 - _BITS)).astype(np.int64)])
-                at = at[np.searchsorted(sorted_h, w[at]) < len(sorted_h)] if len(at) else at
-                at = at[sorted_h[np.searchsorted(sorted_h, w[at])] == w[at]] if len(at) else at
-                of = np.searchsorted(bounds, at, side="right") - 1
-                inside = at + k <= bounds[of + 1]
-                for x, i in zip(at[inside].tolist(), of[inside].tolist(), strict=True):
-                    if i not in split:
-                        split[i] = _word_list(batch[first + i])
-                    start = x - int(bounds[i])
-                    ids = known[k][int(w[x])].get(b" ".join(split[i][start : start + k]))
-                    if ids is not None:
-                        hits[i].append((start, start + k, ids))
-            for i in range(count):
-                spans: list[list[int]] = []
-                for a, b, _ in sorted(hits.get(i, ()), key=lambda x: x[:2]):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
-                yield int(bounds[i + 1] - bounds[i]), spans, sorted({y for _, _, ids in hits.get(i, ()) for y in ids})
-
-    return texts
-
-
-def _map(shared_set, width: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared_set.value
-        tables = known.arrays()
-        scan = _scan(known.known, width)
+        known = sent.value
+        bits = known.bits()
         for batch in batches:
-            rows = list(scan(batch.column(1).to_pylist(), tables))
-            keep = [i for i, r in enumerate(rows) if every or r[1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(keep, pa.int64())),
-                    pa.array([rows[i][0] for i in keep], pa.int64()),
-                    pa.array([[{"start": a, "stop": b} for a, b in rows[i][1]] for i in keep], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    pa.array([rows[i][2] for i in keep], pa.list_(pa.int64())),
-                ],
-                ["key", "n_words", "spans", "items"],
-            )
+            n, spans, items = [], [], []
+            before = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+            for (old, listed), (count, hits, ids) in zip(before, _find(known, bits, batch.column(text).to_pylist()), strict=True):
+                n.append(count)
+                spans.append([{"start": a, "stop": b} for a, b in _merged([*((x["start"], x["stop"]) for x in old), *hits])] if hits else old)
+                items.append(sorted({*listed, *(x for x in ids if x is not None)}) if ids else listed)
+            kinds = [batch.schema.field(k).type for k in range(batch.num_columns - 3, batch.num_columns)]
+            columns = [*batch.columns[:-3], *(pa.array(x, kind) for x, kind in zip((n, spans, items), kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return run
 
 
-_SCHEMA = "key {0}, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
+def _scanned(rows: DataFrame, benchmark: DataFrame, width: int, part: int, found: list[str]) -> DataFrame:
+    """``rows``, in which ``text`` is a column, with the columns ``found``: number of words, hit spans and items."""
+    spark = rows.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    pieces = shared.table(items.mapInArrow(_cut_items(width), "item_id long, words binary").distinct(), "pieces")
+    parts = -(-(pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // part) or 1
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)))
+    empty = [F.lit(0).cast("long"), F.array().cast("array<struct<start:long,stop:long>>"), F.array().cast("array<long>")]
+    out = rows.select("*", *(c.alias(name) for c, name in zip(empty, found, strict=True)))
+    for i in range(parts):
+        mine = [(r["item_id"], bytes(r["words"])) for r in pieces.where(F.col("part") == i).select("item_id", "words").collect()]  # about `part` bytes
+        out = out.mapInArrow(_map(spark.sparkContext.broadcast(WindowSet(mine, width)), rows.columns.index("text")), out.schema)
+        if (i + 1) % PARTS_A_JOB == 0 and i + 1 < parts:
+            out = shared.table(out, "scanned")
+    return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, key: str = "doc_id", limit: int = SET_LIMIT) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, key: str = "doc_id", part: int = PART) -> DataFrame:
     """``(key, n_words, spans, items)`` for each row of ``docs``.
 
     ``spans`` are the merged ranges of words, by their place in the document,
@@ -126,40 +182,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, key: str = "
     words than ``width``, but not none, is one window. Null and empty texts
     have no words and no hits; an item without an id marks its hits but is not
     listed; repeated items are listed once; rows with the same key give a row
-    each. With an empty benchmark nothing is hit.
+    each. With an empty benchmark nothing is hit. Other columns are not read.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("key"), F.col("text"))
-    kind = source.schema["key"].dataType.simpleString()
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-size // limit) or 1
-    if passes == 1:
-        rows = [tuple(r) for r in items.collect()]  # at most `limit` bytes
-        return source.mapInArrow(_map(spark.sparkContext.broadcast(WindowSet(rows, width)), width, True), _SCHEMA.format(kind))
-    # A larger benchmark in passes of about `limit` bytes: rows are numbered by hash, whole items stay together.
-    numbered = shared.table(items.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * passes))), "benchmark")
-    copies = shared.table(source.withColumn("row", F.xxhash64("key", "text")), "scan")
-    found = None
-    for i in range(2 * passes):
-        rows = [tuple(r) for r in numbered.where(F.col("pass") == i).select("item_id", "text").collect()]
-        part = copies.select("row", "text").mapInArrow(_map(spark.sparkContext.broadcast(WindowSet(rows, width)), width, i == 0), _SCHEMA.format("long"))
-        part = shared.table(part.dropDuplicates(["key"]), "hits")
-        found = part if found is None else found.unionByName(part)
-    one = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.array().cast("array<struct<start:long,stop:long>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["stop"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    one = one.withColumn("spans", merged).withColumnRenamed("key", "row")
-    return copies.select("key", "row").join(one, "row").select("key", "n_words", "spans", "items")
+    source = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    return _scanned(source, benchmark, width, part, ["n_words", "spans", "items"]).drop("text")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -176,29 +202,27 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
     )
 
 
-def _cut(batches_set, width: int, most: float):
+def _cut(text: int, most: float):
+    """Drops or cuts by the last three columns, which go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = batches_set.value
-        tables = known.arrays()
-        find = _scan(known.known, width)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at).to_pylist()
             keep, out = [], []
-            for i, (n, spans, _) in enumerate(find(texts, tables)):
-                hit = sum(b - a for a, b in spans)
-                if hit > most * n:
+            rows = zip(*(batch.column(k).to_pylist() for k in (text, batch.num_columns - 3, batch.num_columns - 2)), strict=True)
+            for i, (value, n, spans) in enumerate(rows):
+                spans = [(x["start"], x["stop"]) for x in spans]
+                if sum(b - a for a, b in spans) > most * n:
                     continue
                 keep.append(i)
-                out.append(_without(texts[i], spans) if spans else texts[i])
-            columns = [c.take(pa.array(keep, pa.int64())) for c in batch.columns]
-            columns[at] = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                out.append(_without(value, spans) if spans else value)
+            columns = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[:-3]]
+            columns[text] = pa.array(out, batch.schema.field(text).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(batch.num_columns - 3)]))
 
     return run
 
 
-def _without(text: str, spans: list[list[int]]) -> str:
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
     data = text.encode("utf-8", "surrogatepass")
     s = words.slices(data.lower(), words.ALNUM)
     kept, at = [], 0
@@ -208,23 +232,21 @@ def _without(text: str, spans: list[list[int]]) -> str:
     return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: float = 0.0, limit: int = SET_LIMIT) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: float = 0.0, part: int = PART) -> DataFrame:
     """``docs`` without benchmark text.
 
     A document of which more than the share ``most`` of its words is hit goes;
     of the others the hit spans are cut out of ``text``, and ``n_chars``, if
     there is such a column, is counted again. With ``most`` 0 every hit
-    document goes and all others stay as they are. Null and empty texts stay.
+    document goes and all others stay as they are. Null and empty texts stay,
+    repeated rows give a row each, and other columns stay whatever their names.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-size // limit) or 1
-    numbered = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(1 if passes == 1 else 2 * passes)))
-    out = docs
-    for i in range(1 if passes == 1 else 2 * passes):
-        rows = [tuple(r) for r in numbered.where(F.col("pass") == i).drop("pass").collect()]
-        out = out.mapInArrow(_cut(spark.sparkContext.broadcast(WindowSet(rows, width)), width, most), out.schema)
+    found = [shared.unused(docs, name) for name in ("n_words", "spans", "items")]
+    out = _scanned(docs, benchmark, width, part, found)
+    if most == 0:
+        out = out.where(F.size(found[1]) == 0).select(*docs.columns)
+    else:
+        out = out.mapInArrow(_cut(docs.columns.index("text"), most), docs.schema)
     if most > 0 and "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
