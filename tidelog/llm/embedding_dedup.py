@@ -33,10 +33,10 @@ from tidelog.llm import shared
 from tidelog.llm.components import components
 
 THRESHOLD = 0.98
-#: Chance that a pair at the threshold shares no key.
+#: Chance that a pair at the threshold shares no key, as if the signs of a key were independent (rows of one rotation are nearly so).
 MISS = 1e-7
-#: Width of the confidence bound; a bound fails with a chance of about exp(-EPSILON^2 / 2).
-EPSILON = 5.0
+#: Width of the confidence bound; a bound fails with a chance of about exp(-EPSILON^2 / 2), which adds to MISS.
+EPSILON = 6.0
 #: Nodes of a key that one side of a comparison holds at most, about.
 BLOCK = 1024
 
@@ -97,15 +97,18 @@ def _key_rows(bits: int, tables: int):
     return run
 
 
-def _compare(x: np.ndarray, y: np.ndarray, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) whose exact cosine reaches the threshold, after the bounds on codes have dropped most."""
-    turn = rotation(dim, 0).T
-    rx, ry = x @ turn, y @ turn
-    code = np.where(rx > 0, 1.0, -1.0) / math.sqrt(dim)
-    factor = (code * rx).sum(1)
-    estimate = (code.astype(np.float32) @ ry.T.astype(np.float32)) / factor[:, None]
-    bound = np.sqrt(np.maximum(1 - factor**2, 0)) / factor * EPSILON / math.sqrt(max(dim - 1, 1)) + 1e-4
-    i, j = np.nonzero(estimate + bound[:, None] >= threshold)
+def _compare(x: np.ndarray, y: np.ndarray, dim: int, threshold: float, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) whose exact cosine reaches the threshold, after the bounds on codes have dropped most; with an infinite ``epsilon`` none are."""
+    if epsilon == math.inf:
+        i, j = np.nonzero(x @ y.T >= threshold - 1e-9)
+    else:
+        turn = rotation(dim, 0).T
+        rx, ry = x @ turn, y @ turn
+        code = np.where(rx > 0, 1.0, -1.0) / math.sqrt(dim)
+        factor = (code * rx).sum(1)
+        estimate = (code.astype(np.float32) @ ry.T.astype(np.float32)) / factor[:, None]
+        bound = np.sqrt(np.maximum(1 - factor**2, 0)) / factor * epsilon / math.sqrt(max(dim - 1, 1)) + 1e-4
+        i, j = np.nonzero(estimate + bound[:, None] >= threshold)
     keep = np.zeros(len(i), bool)
     for a in range(0, len(i), 1 << 16):
         b = slice(a, a + (1 << 16))
@@ -142,7 +145,7 @@ def _links(threshold: float, bits: int, tables: int):
         x = _unit(part.column("embedding").combine_chunks())
         keys = _all_keys(x, bits, tables)[:, :spot] if spot else np.zeros((len(x), 0), np.int64)
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = _compare(x[left], x[right], x.shape[1], threshold)
+        a, b = _compare(x[left], x[right], x.shape[1], threshold, EPSILON if bits else math.inf)
         a, b = left[a], right[b]
         if i == j:
             a, b = a[a < b], b[a < b]
@@ -195,7 +198,7 @@ def _usable(embedding: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & (F.size(embedding) > 0) & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row for each row of ``vectors``.
 
     Vectors link when their labels are equal and their cosine reaches
@@ -204,6 +207,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     count no links and are their own component. Each row is a vector, so equal
     vectors link with one another, and a repeated row counts as another vector.
     Vectors of different lengths do not link. Other columns are not read.
+
+    A pair at the threshold is missed with a chance of about MISS plus that of
+    its bound. With ``exact`` all vectors of a label are compared, in blocks,
+    in double precision: nothing is missed, and the work grows with the square
+    of a label's different vectors. Equal vectors are told by a 64-bit hash.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     ok = _usable(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull()
@@ -213,7 +221,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nodes = good.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"))
     nodes = shared.table(nodes, "nodes")
     n = nodes.count()
-    bits, tables = plan(n, threshold)
+    bits, tables = (0, 1) if exact else plan(n, threshold)
     one = good.join(nodes, "node").where("vec_id = first").select("node", "embedding", "label", "copies").dropDuplicates(["node"])
     one = shared.table(one, "vectors")
 
@@ -229,6 +237,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     order = [*place, "i", "j"]
     found = work.repartition(*order).sortWithinPartitions(*order).mapInArrow(_links(threshold, bits, tables), "a long, n long, b long")
     found = shared.table(found, "links")
+    shared.drop(keyed, one)
 
     joined = components(found.where("a <> b").select("a", "b"))
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
