@@ -19,6 +19,7 @@ bin.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -69,6 +70,11 @@ class Rates:
     def __init__(self, names: list[str], prior: list[float], likelihood: list[list[list[float]]]):
         self.names, self.prior, self.likelihood = names, prior, likelihood
         self.steps: list[list[float]] = []
+        #: Tokens of each domain at rate 1, wanted, and reached, and whether all are close enough.
+        self.start: list[float] = []
+        self.wanted: list[float] = []
+        self.reached: list[float] = []
+        self.met = True
 
     def posterior(self, bins: list[Column]) -> Column:
         """An array with the probability of each domain, rounded to 6 places so that equal ones meet."""
@@ -110,7 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     labelled rows with a text. Domains without a target keep their tokens.
     Documents with null or empty texts have no tokens and the rate of their
     posterior. With no labelled row there is one domain, ``all``, and every
-    rate tends to its target's share.
+    rate tends to its target's share. Targets that no rates can meet end after
+    ``rounds`` steps with the closest totals; the rates then say so in ``met``,
+    and a warning names the domains.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("tokens"), F.array(*features(F.col("text"))).alias("bins"))
     table = shared.table(source, "features")
@@ -150,9 +158,22 @@ def fit(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
             break
         rates.steps.append([float(x) for x in np.linalg.solve(m, np.subtract(now, wanted))])
         now = totals()
+    rates.start, rates.wanted, rates.reached = start, wanted, now
+    far = [n for n, a, b in zip(names, now, wanted, strict=True) if abs(a - b) > CLOSE * whole]
+    rates.met = not far
+    if far:
+        warnings.warn(f"totals of {', '.join(far)} are not at their targets after {len(rates.steps)} steps", stacklevel=2)
     return rates, scored
 
 
+def totals(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+    """``(domain, tokens, target, reached, met)``: expected tokens at rate 1, wanted, and at the fitted rates."""
+    rates, _ = fit(docs, labels, targets)
+    whole = sum(rates.start)
+    rows = [(n, a, b, c, abs(b - c) <= CLOSE * whole) for n, a, b, c in zip(rates.names, rates.start, rates.wanted, rates.reached, strict=True)]
+    return docs.sparkSession.createDataFrame(rows, "domain string, tokens double, target double, reached double, met boolean")
+
+
 def _copies(rate: Column, doc_id: Column) -> Column:
     """The rate rounded up or down by the document's hash, in proportion."""
     u = F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
@@ -170,8 +191,9 @@ def report(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TA
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """The rows of ``docs`` with a rate above 0, with columns ``rate`` and ``copies`` added or replaced."""
     rates, _ = fit(docs, labels, targets)
-    columns = [c for c in docs.columns if c not in ("rate", "copies")]
-    out = _once(docs.select(*columns), "_bins", F.array(*features(F.col("text"))))
-    out = _once(out, "_posterior", rates.posterior([F.col("_bins")[k] for k in range(len(features(F.col("text"))))]))
-    out = _once(out, "rate", F.round(rates.rate(F.col("_posterior")), 6))
-    return out.select(*columns, "rate", _copies(F.col("rate"), F.col("doc_id")).alias("copies")).where("rate > 0")
+    columns = [c for c in docs.columns if c.lower() not in ("rate", "copies")]
+    bins, posterior, rate = (shared.unused(docs, name) for name in ("bins", "posterior", "fitted"))
+    out = _once(docs.select(*columns), bins, F.array(*features(F.col("text"))))
+    out = _once(out, posterior, rates.posterior([F.col(bins)[k] for k in range(len(features(F.col("text"))))]))
+    out = _once(out, rate, F.round(rates.rate(F.col(posterior)), 6))
+    return out.select(*columns, F.col(rate).alias("rate"), _copies(F.col(rate), F.col("doc_id")).alias("copies")).where("rate > 0")
