@@ -31,6 +31,8 @@ SAMPLE = 1000
 SAMPLE_CHARS = 20_000
 #: Tokens of the sample, about, that messages are held for at once.
 CHAIN = 1 << 17
+#: Characters that one chain holds at most, about. A longer text is several chains, which start anew after white space; its score is that of all its tokens.
+PART = 1 << 21
 #: Labels that are broadcast at most.
 BROADCAST_LABELS = 1_000_000
 #: A feature points to toxic tokens from this log-odds ratio of document frequencies and so many toxic documents.
@@ -56,6 +58,20 @@ def features(s: words.Slices) -> np.ndarray:
     return out
 
 
+def _parts(texts: list) -> Iterator[tuple[int, int, str]]:
+    """``(text, first character, part)``: each text whole, or a very long one in parts that are cut at white space."""
+    for k, text in enumerate(texts):
+        text = text or ""
+        at = 0
+        while len(text) - at > PART:
+            cut = at + PART
+            while cut < len(text) and not text[cut].isspace():
+                cut += 1
+            yield k, at, text[at:cut]
+            at = cut
+        yield k, at, text[at:]
+
+
 def _groups(texts: list) -> Iterator[tuple[int, int, words.Slices, np.ndarray]]:
     """Groups of texts as one buffer: ``(first, count, slices, bounds of words)``."""
     first, group, size = 0, [], 0
@@ -74,21 +90,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each label that have a feature, summed over a task."""
     total = np.zeros((2, 1 << TABLE_BITS), np.int32)
     n = np.zeros(2, np.int64)
+    def add(key: np.ndarray, label: np.ndarray) -> None:
+        of = label[key >> TABLE_BITS]
+        for y in (0, 1):
+            at, times = np.unique(key[of == y] & ((1 << TABLE_BITS) - 1), return_counts=True)
+            total[y][at] += times.astype(np.int32)
+
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, count, s, bounds in _groups(texts):
+        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        n += np.bincount(label, minlength=2)
+        parts = list(_parts(batch.column(0).to_pylist()))
+        owner = np.array([k for k, _, _ in parts], np.int64)
+        several = np.bincount(owner, minlength=len(label)) > 1
+        held: dict[int, np.ndarray] = {}  # keys of texts in several parts, by kind of feature
+        for first, count, s, bounds in _groups([part for _, _, part in parts]):
             f = features(s)
-            owner = np.repeat(np.arange(count), np.diff(bounds))
-            label = toxic[first : first + count].astype(np.int64)
+            own = np.repeat(owner[first : first + count], np.diff(bounds))
             for j in range(f.shape[1]):
                 ok = f[:, j] >= 0
-                key = np.unique(owner[ok] << TABLE_BITS | f[ok, j])
-                of = label[key >> TABLE_BITS]
-                for y in (0, 1):
-                    at, times = np.unique(key[of == y] & ((1 << TABLE_BITS) - 1), return_counts=True)
-                    total[y][at] += times.astype(np.int32)
-            n += np.bincount(label, minlength=2)
+                key = np.unique(own[ok] << TABLE_BITS | f[ok, j])
+                cut = several[key >> TABLE_BITS]
+                add(key[~cut], label)
+                if cut.any():
+                    held[j] = np.union1d(held[j], key[cut]) if j in held else key[cut]
+        for key in held.values():
+            add(key, label)
     at = np.flatnonzero(total[0] | total[1])
     index = np.concatenate([at, [-1]])
     yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(np.append(total[1][at], n[1]).astype(np.int64)), pa.array(np.append(total[0][at], n[0]).astype(np.int64))], ["feature", "toxic", "clean"])
@@ -173,21 +199,24 @@ class Model:
     def emission(self, s: words.Slices, table: np.ndarray) -> np.ndarray:
         return table[features(s)].sum(1, dtype=np.float64) + self.bias
 
-    def score(self, p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        x = summary(p, bounds)
-        return 1 / (1 + np.exp(-np.clip(x @ self.scale, -50, 50)))
+    def score(self, most: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(inputs(most, total) @ self.scale, -50, 50)))
 
 
-def summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Inputs of a document's score: 1, log-odds of its most toxic token, and the log of its expected toxic tokens."""
-    n = len(bounds) - 1
-    most = np.zeros(n)
+def peaks(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each chain's most toxic token, 0 if it has none, and its expected toxic tokens."""
+    most = np.zeros(len(bounds) - 1)
     full = np.diff(bounds) > 0
     if full.any():
         most[full] = np.maximum.reduceat(p, bounds[:-1][full])
     total = np.concatenate([[0], np.cumsum(p)])
+    return most, total[bounds[1:]] - total[bounds[:-1]]
+
+
+def inputs(most: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Inputs of a document's score: 1, log-odds of its most toxic token, and the log of its expected toxic tokens."""
     most = np.clip(most, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(n), np.log(most / (1 - most)) / 5, np.log1p(total[bounds[1:]] - total[bounds[:-1]])], 1)
+    return np.stack([np.ones(len(most)), np.log(most / (1 - most)) / 5, np.log1p(total)], 1)
 
 
 def _tokens(shared_chosen):
@@ -343,7 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     n, label, hits = n.to_numpy(), label.to_numpy(), at.value_lengths().to_numpy()
     pieces = _pieces(n, hits, at.flatten().to_numpy().astype(np.int64), f.flatten().to_numpy(), label)
     w, bias, trans, start = _fit_chain(pieces, len(chosen), rounds)
-    x = np.concatenate([summary(marginals(p.emission(w, bias[0]), trans, start, p.bounds)[0], p.bounds) for p in pieces])
+    x = np.concatenate([inputs(*peaks(marginals(p.emission(w, bias[0]), trans, start, p.bounds)[0], p.bounds)) for p in pieces])
     share = np.array([n0, n1]) / (n0 + n1) / np.maximum(np.bincount(label, minlength=2), 1)
     scale = _logistic(x, label, share[label] * len(label))
     return Model(chosen, w.astype(np.float32), float(bias[0]), trans, start, scale)
@@ -366,20 +395,30 @@ def _spans(s: words.Slices, p: np.ndarray, lo: int, hi: int, least: float) -> li
     return [{"start": int(s.starts[lo + a]) - base, "stop": int(s.ends[lo + b]) - base, "p": float(p[lo + a : lo + b + 1].max())} for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
+def _scored(model: Model, table: np.ndarray, texts: list, least: float | None = None) -> tuple[np.ndarray, list[list[dict]]]:
+    """Score of each text and, with ``least``, its spans."""
+    most, total, spans = np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts]
+    parts = list(_parts(texts))
+    owner = np.array([k for k, _, _ in parts], np.int64)
+    for first, count, s, bounds in _groups([part for _, _, part in parts]):
+        p, _, _ = marginals(model.emission(s, table), model.trans, model.start, bounds)
+        top, expected = peaks(p, bounds)
+        np.maximum.at(most, owner[first : first + count], top)
+        np.add.at(total, owner[first : first + count], expected)
+        if least is not None:
+            for i in np.unique(np.searchsorted(bounds, np.flatnonzero(p >= least), side="right") - 1).tolist():
+                k, at, part = parts[first + i]
+                found = _to_characters(part, _spans(s, p, int(bounds[i]), int(bounds[i + 1]), least))
+                spans[k] += [x | {"start": x["start"] + at, "stop": x["stop"] + at} for x in found]
+    return model.score(most, total), spans
+
+
 def _apply(shared_model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared_model.value
         table = model.table()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            score, spans = np.zeros(len(texts)), []
-            for first, count, s, bounds in _groups(texts):
-                p, _, _ = marginals(model.emission(s, table), model.trans, model.start, bounds)
-                score[first : first + count] = model.score(p, bounds)
-                hot = np.unique(np.searchsorted(bounds, np.flatnonzero(p >= least), side="right") - 1)
-                found = {int(i): _spans(s, p, int(bounds[i]), int(bounds[i + 1]), least) for i in hot}
-                for i in range(count):
-                    spans.append(_to_characters(texts[first + i], found[i]) if i in found else [])
+            score, spans = _scored(model, table, batch.column(1).to_pylist(), least)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(score), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())])))],
                 ["key", "score", "spans"],
@@ -410,14 +449,20 @@ def tag(docs: DataFrame, model: Model, least: float = 0.5, key: str = "doc_id")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted, n_spans)`` with a model fitted to ``labels``."""
+    """``(doc_id, held_out, score, predicted, spans)`` with a model fitted to ``labels``, a row for each row of ``docs``.
+
+    Null and empty texts have the score of a text without a toxic token;
+    ``predicted`` is 1 from a score of 0.5 on. Rows that repeat an id are scored
+    each by its own text. Without labels of both kinds every score is about 0.
+    Other columns are not read.
+    """
     out = tag(docs, fit(docs, labels))
     return out.select(
         F.col("key").alias("doc_id"),
         held_out("key").alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        F.size("spans").alias("n_spans"),
+        "spans",
     )
 
 
@@ -426,17 +471,17 @@ def _reject(shared_model):
         model = shared_model.value
         table = model.table()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = np.ones(len(texts), bool)
-            for first, count, s, bounds in _groups(texts):
-                p, _, _ = marginals(model.emission(s, table), model.trans, model.start, bounds)
-                keep[first : first + count] = model.score(p, bounds) < 0.5
-            yield batch.filter(pa.array(keep))
+            score, _ = _scored(model, table, batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array(score < 0.5))
 
     return run
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is under 0.5, with all their columns."""
+    """The rows of ``docs`` whose score is under 0.5, with all their columns.
+
+    Null and empty texts stay, repeated rows are judged each, and without
+    labels of both kinds all rows stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(_pad(fit(docs, labels)))
     return docs.mapInArrow(_reject(sent), docs.schema)
