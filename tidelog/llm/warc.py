@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import shared
 
-#: Records of an archive file, and shares into which the rows of one payload are dealt.
-RECORDS_A_FILE = 2000
+#: Bytes of html of an archive file, about, and shares into which the rows of one payload are dealt.
+FILE_BYTES = 128 << 20
 SALT = 64
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -136,7 +136,9 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str | None = None)
     made = source.mapInArrow(_members(stamp), "page_id long, url string, member binary, sha1 string, n_bytes long")
     made = made.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
     joined = made.join(again, (F.col("sha1") == F.col("again")) & (F.col("salt") == F.col("share")), "left").select("page_id", "url", "member", "sha1", "n_bytes", "first")
-    joined.mapInArrow(_revisits(stamp), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    mean = source.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    records = max(1, int(FILE_BYTES / (mean + 500)))  # headers and all
+    joined.mapInArrow(_revisits(stamp), "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
 
 
 def _headers(lines: bytes) -> dict[str, str]:
@@ -172,32 +174,45 @@ def parse(data: bytes) -> tuple[dict, bytes, int] | str:
     return head, payload, end + 8 + n
 
 
-def _inflate(view: memoryview) -> tuple[bytes, int] | None:
-    """A whole gzip member and its length, or None; zlib checks CRC and length."""
+def _inflate(view: memoryview) -> tuple[bytes, int, bool]:
+    """What a gzip member holds, up to the first damage, the bytes that were read, and whether it is whole; zlib checks CRC and length."""
     d, parts, at = zlib.decompressobj(31), [], 0
-    try:
-        while not d.eof and at < len(view):
+    while not d.eof and at < len(view):
+        before = d.copy()
+        try:
             parts.append(d.decompress(view[at : at + (1 << 16)]))
             at += 1 << 16
-    except zlib.error:
-        return None
-    return (b"".join(parts), min(at, len(view)) - len(d.unused_data)) if d.eof else None
+        except zlib.error:
+            # up to the damage, in small steps
+            try:
+                while at < len(view):
+                    parts.append(before.decompress(view[at : at + 64]))
+                    at += 64
+            except zlib.error:
+                pass
+            return b"".join(parts), min(at, len(view)), False
+    return b"".join(parts), min(at, len(view)) - len(d.unused_data), d.eof
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """``("record", start, end, (headers, payload))`` and ``("gap", start, end, reason)`` of one archive, in order."""
+    """``("record", start, end, (headers, payload))`` and ``("gap", start, end, reason)`` of one archive, in order.
+
+    Of a member with several records those that read well are kept, whatever
+    its others are like and wherever it is damaged; a gap inside a member
+    stands with the member's bytes, and its reason tells the bytes inside.
+    """
     view, at, bad, why = memoryview(data), 0, None, ""
     while at < len(data):
-        found, reason = _at(data, view, at)
-        if found is not None:
+        found, end, reason = _at(data, view, at)
+        if any(kind == "record" for kind, _ in found) or (end is not None and not found):
             if bad is not None:
                 yield "gap", bad, at, why
                 bad = None
-            records, end = found
-            for head, payload in records:
-                yield "record", at, end, (head, payload)
-            at = end
-            continue
+            for kind, what in found:
+                yield kind, at, end or len(data), what
+            if end is not None:
+                at = end
+                continue
         if bad is None:
             bad, why = at, reason
         places = [x for x in (data.find(_MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
@@ -206,21 +221,32 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         yield "gap", bad, len(data), why
 
 
-def _at(data: bytes, view: memoryview, at: int) -> tuple[tuple[list, int] | None, str]:
-    """The records that stand at a place, and where they end."""
-    if data.startswith(_MAGIC, at):
-        got = _inflate(view[at:])
-        if got is None:
-            return None, "member does not inflate"
-        inside, size = got
-        records, k = [], 0
-        while k < len(inside):
-            r = parse(inside[k:] if k else inside)
-            if isinstance(r, str):
-                return None, r
-            records.append(r[:2])
+def _inside(data: bytes) -> tuple[list[tuple[str, object]], str]:
+    """Records of an inflated member and what lies between them, and the first problem."""
+    found, k, first = [], 0, ""
+    while k < len(data):
+        r = parse(data[k:] if k else data)
+        if isinstance(r, str):
+            first = first or r
+            nxt = data.find(b"WARC/1.", k + 1)
+            nxt = len(data) if nxt < 0 else nxt
+            found.append(("gap", f"{r}, bytes {k} to {nxt} of the member"))
+            k = nxt
+        else:
+            found.append(("record", r[:2]))
             k += r[2]
-        return (records, at + size), ""
+    return found, first
+
+
+def _at(data: bytes, view: memoryview, at: int) -> tuple[list[tuple[str, object]], int | None, str]:
+    """Records and inner gaps that stand at a place, where they end if that is known, and a problem."""
+    if data.startswith(_MAGIC, at):
+        inside, size, whole = _inflate(view[at:])
+        found, reason = _inside(inside)
+        records = sum(kind == "record" for kind, _ in found)
+        if not whole:
+            return [x for x in found if x[0] == "record"], None, f"member does not inflate, after {records} records" if records else "member does not inflate"
+        return (found, at + size, reason) if records or not found else ([], None, reason)
     if data.startswith(b"WARC/1.", at):
         # a plain record: its length is in its headers, so no more than the record is copied
         end = data.find(b"\r\n\r\n", at)
@@ -229,10 +255,10 @@ def _at(data: bytes, view: memoryview, at: int) -> tuple[tuple[list, int] | None
         except (KeyError, ValueError):
             n = -1
         if n < 0:
-            return None, "no content length"
+            return [], None, "no content length"
         r = parse(data[at : end + 8 + n])
-        return (None, r) if isinstance(r, str) else (([r[:2]], at + r[2]), "")
-    return None, "neither a member nor a version line"
+        return ([], None, r) if isinstance(r, str) else ([("record", r[:2])], at + r[2], "")
+    return [], None, "neither a member nor a version line"
 
 
 def _id(text: str | None) -> int | None:
