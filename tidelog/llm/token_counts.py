@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the public vocabulary lies; a parameter everywhere.
+#: Where the public vocabulary lies on each executor; a parameter everywhere. On a cluster without it, send the file with ``addFile`` and give its path there.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that goes with this vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
