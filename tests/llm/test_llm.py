@@ -303,6 +303,27 @@ def test_token_counts_add_up(spark):
     assert any(r.n_crossing for r in rows)
 
 
+def test_section_tokens_equal_brute_force(spark):
+    docs = table(spark, "documents").limit(60).unionByName(documents(spark, [*AWKWARD, "a b. c! d? e\nf\n\n. ", "漢字。 x. y 😀! z" * 30], [1000 + k for k in range(len(AWKWARD) + 2)]).select(*table(spark, "documents").columns))
+    encoding, _ = token_counts.encoder()
+    want = []
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        cuts = [0] + [m.end() for m in re.finditer(rb"\n|(?<=[.!?]) ", data) if m.end() < len(data)]
+        section = [sum(1 for c in cuts if c <= b) - 1 for b in range(len(data))] if len(data) < 20_000 else np.searchsorted(cuts, np.arange(len(data)), side="right") - 1
+        count, cross, at = Counter(), Counter(), 0
+        for t in encoding.encode_ordinary(r.text or ""):
+            held = Counter(int(section[b]) for b in range(at, at + len(encoding.decode_single_token_bytes(t))))
+            at += sum(held.values())
+            count[max(held, key=lambda x: (held[x], -x))] += 1
+            cross.update(held if len(held) > 1 else [])
+            cross = Counter({k: v if k not in held or len(held) < 2 else v - held[k] + 1 for k, v in cross.items()})
+        ends = [*cuts[1:], len(data)]
+        want += [(r.doc_id, k, len(data[:a].decode()), len(data[:b].decode()), float(count[k]), cross[k]) for k, (a, b) in enumerate(zip(cuts, ends))]
+    assert sorted(tuple(r) for r in token_counts.section_tokens(docs).collect()) == sorted(want)
+    assert token_counts.section_tokens(docs.limit(0)).count() == 0
+
+
 # 4
 
 
@@ -352,6 +373,33 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_a_member():
+    records = [warc.record(k, "u", f"payload {k}".encode() * 50, None, "2024-01-01T00:00:00Z") for k in range(6)]
+    bad = bytearray(b"".join(records))
+    at = sum(map(len, records[:2])) + len(records[2]) - 40
+    bad[at : at + 8] = b"XXXXXXXX"
+    found = list(warc.salvage(warc.member(bytes(bad)) + warc.member(records[0])))
+    assert [int(x[3][1][8:9]) for x in found if x[0] == "record"] == [0, 1, 3, 4, 5, 0]
+    lo, hi = sum(map(len, records[:2])), sum(map(len, records[:3]))
+    assert [x[3] for x in found if x[0] == "gap"] == [f"block digest differs, bytes {lo} to {hi} of the member"]
+    # one member for all, damaged near its end
+    rng = np.random.default_rng(1)
+    long = [warc.record(k, "u", rng.bytes(40_000), None, "2024-01-01T00:00:00Z") for k in range(6)]
+    packed = bytearray(gzip.compress(b"".join(long)))
+    packed[-60_000] ^= 0xFF
+    packed[-59_000:-58_900] = b"\0" * 100
+    found = list(warc.salvage(bytes(packed)))
+    assert sum(x[0] == "record" for x in found) >= 4 and found[-1][0] == "gap" and found[-1][2] == len(packed)
+
+
+def test_archives_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    at = "file://" + tempfile.mkdtemp(prefix="spark-warc-") + "/out"
+    warc.write(pages(spark, ["x" * 500 + str(k) for k in range(30)]).coalesce(1), at)
+    assert len([n for n in os.listdir(at.removeprefix("file://")) if n.startswith("part")]) > 5
+    assert warc.read(spark, at).count() == 30
+
+
 # 5
 
 
@@ -690,6 +738,60 @@ def test_decontamination(spark):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+# all
+
+
+CLASH = "gone _gone bins _bins posterior _posterior fitted rate copies n_words spans items n node place sig salt score key tokens mined".split()
+
+
+def test_columns_of_any_names_and_empty_tables(spark):
+    """Operators read their own columns only, and stages keep all others."""
+    docs = documents(spark, [*AWKWARD, "w " * 3000, "same text of some words here", "same text of some words here"])
+    wide = docs.select("*", *(F.lit("clash").alias(c) for c in CLASH))
+    labels = spark.createDataFrame([(k, k % 2, (k + 1) % 2) for k in range(6)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "of some words")], "item_id long, text string")
+    runs = {
+        "op2": lambda d: toxicity.scores(d, labels),
+        "op3": token_counts.section_tokens,
+        "op6": lambda d: jaccard.jaccard_components(d, jaccard.Rule(5, 80, 100)),
+        "op7": lambda d: mixing.report(d, labels),
+        "op10": lambda d: decontaminate.report(d, bench),
+    }
+    for name, run in runs.items():
+        assert sorted(map(repr, run(docs).collect())) == sorted(map(repr, run(wide).collect())), name
+        assert run(docs.limit(0)).count() == 0, name
+    stages = {"op2": lambda d: toxicity.drop_toxic(d, labels), "op6": lambda d: jaccard.first_of_each(d, jaccard.Rule(5, 80, 100)), "op10": lambda d: decontaminate.decontaminate(d, bench)}
+    for name, run in stages.items():
+        out = run(wide)
+        assert out.columns == wide.columns and sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in run(docs).collect()), name
+    assert set(mixing.mix(wide, labels).columns) == set(wide.columns)
+    html = pages(spark, ["<article><p>x, y. z</p></article>", None])
+    assert sorted(map(repr, html_text.extract(html).collect())) == sorted(map(repr, html_text.extract(html.withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))).collect()))
+    turns = spark.createDataFrame([(0, 0, "user", "a"), (1, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    assert sorted(map(repr, preference.format_pairs(preference.neighbours(turns)).collect())) == sorted(map(repr, preference.format_pairs(preference.neighbours(turns.withColumn("part", F.lit(1)).withColumn("pair_id", F.lit(9)))).collect()))
+
+
+def test_a_very_long_text_goes_through_all(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join(rng.choice([f"word{k}" for k in range(5000)], 400_000))  # about 3.5 MB
+    docs = documents(spark, [long, long + " more", "short text"])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(long.split()[200_000:200_020]))], "item_id long, text string")
+    assert [r.n_hit for r in decontaminate.report(docs, bench).orderBy("doc_id").collect()] == [20, 20, 0]
+    assert [r.component_id for r in jaccard.jaccard_components(docs, jaccard.Rule(5, 80, 100)).orderBy("doc_id").collect()] == [0, 0, 2]
+    assert toxicity.scores(docs, labels).count() == 3 and mixing.report(docs, labels).count() == 3
+    model = html_text.fit(table(spark, "pages"))
+    assert model.extract(f"<article><p>{long}</p></article>") == long
+
+
+def test_exact_comparison_of_vectors_agrees(spark):
+    rows = table(spark, "embeddings").select("vec_id", "embedding", "label")
+    near = rows.select(F.col("vec_id") + 100_000, F.transform("embedding", lambda x, i: x + F.when(F.pmod(i, F.lit(7)) == 0, 0.02).otherwise(0.0)).cast("array<float>"), "label")
+    rows = rows.unionByName(near.toDF(*rows.columns))
+    a, b = (sorted(tuple(r) for r in embedding_dedup.near_duplicates(rows, exact=x).collect()) for x in (False, True))
+    assert a == b and any(r[1] for r in a)
+
+
 # pipeline
 
 
