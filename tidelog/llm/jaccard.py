@@ -40,8 +40,6 @@ FREQUENT_SHARE = 0.001
 FREQUENT_LEAST = 8
 #: Members of the most frequent shingles are dealt over so many keys at most, as a power of 2.
 MOST_SALTS = 12
-#: Times that nodes with too few common shingles are taken out; more would only leave fewer to compare.
-ROUNDS = 2
 #: Up to so many nodes a table of bits tells tasks which documents' shingles are needed; more are joined.
 FILTER_NODES = 1 << 19
 #: Members of a shingle up to which its pairs across components are counted one by one; of larger ones they are counted in blocks.
@@ -76,6 +74,10 @@ class Rule:
         alone = (self.common(n) == n) & (n * self.q // self.p == n)
         return np.where(alone, 0, n - self.common(n) + self.shared(n))
 
+    def sent_by(self, n: Column) -> Column:
+        """As :meth:`sent` for sets that link to others."""
+        return n - F.ceil(n * self.p / self.q) + 1 + F.floor(F.floor(n * (self.q - self.p) / self.q) / 2)
+
     def needed(self, n: Column) -> Column:
         """Sent shingles that a set of ``n`` shares with any set that it links to: what the least of them shares."""
         least = F.ceil(n * self.p / self.q)
@@ -317,18 +319,20 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     rows = usable.select("text").mapInArrow(_front(rule, sent), "sig long, salt int, node long")
     member = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "node").mapInArrow(_members, "sig long, node long")
     member = shared.table(member, "members")
-    for _ in range(ROUNDS):
-        spare = (F.col("sigs") - rule.needed(F.col("n"))).alias("spare")
-        enough = member.groupBy("node").agg(F.count(F.lit(1)).alias("sigs")).join(sizes, "node").select("node", spare).where("spare >= 0")
-        left = member.select("sig", "node").join(enough, "node")
-        left = left.join(left.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "sig")
-        member = shared.replace(member, left, "members")
+    # nodes with fewer than they need go; a node's rows are as many as it sent
+    each = Window.partitionBy("node")
+    spare = (F.count(F.lit(1)).over(each) - rule.needed(F.col("n"))).alias("spare")
+    left = member.join(sizes, "node").select("sig", "node", spare).where("spare >= 0")
+    front = shared.replace(member, left, "front")
+    often = front.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     # of a node's shingles those that it need not share suffice, and one more: the rarest
-    order = Window.partitionBy("node").orderBy("times", "sig")
-    left = member.withColumn("place", F.row_number().over(order)).where("place <= spare + 1").select("sig", "node")
-    member = shared.replace(member, left, "members")
-    stars = member.join(member.groupBy("sig").agg(F.min("node").alias("a")), "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    stars = shared.table(stars, "stars")
+    rarest = F.row_number().over(each.orderBy("times", "sig")).alias("place")
+    left = front.join(often, "sig").select("sig", "node", "spare", rarest).where("place <= spare + 1").select("sig", "node")
+    member = shared.table(left, "members")
+    least = member.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("a")).where("times > 1").drop("times")
+    member = shared.replace(member, member.join(least, "sig"), "members")
+    stars = shared.table(member.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
+    likely = shared.table(_likely(stars, front, sizes, rule), "likely")
 
     # 2. The shingles of the nodes that may be linked, from one document of each.
     nodes = shared.table(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
@@ -350,9 +354,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
 
     # 3. Stars that hold.
     sizes = grams.where("fragment = 0").select("node", "n")
-    links = shared.table(_verified(stars, grams, sizes, rule), "links")
+    links = shared.table(_verified(likely, grams, sizes, rule), "links")
     joined = components(links)
-    shared.drop(links, stars)
+    shared.drop(links, likely, stars)
 
     # 4. Shingles whose members are still apart: their pairs across components.
     label = joined.select("node", "component")
@@ -361,7 +365,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     still = held.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     few = held.join(still.where(F.col("times") <= FEW).select("sig"), "sig")
     pairs = few.select("sig", F.col("node").alias("a"), F.col("c").alias("c_a")).join(few.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b")), "sig").where("a < b and c_a <> c_b")
-    more = shared.table(_verified(pairs.select("a", "b"), grams, sizes, rule), "more")
+    likely = shared.table(_likely(pairs.select("a", "b").distinct(), front, sizes, rule), "likely")
+    more = shared.table(_verified(likely, grams, sizes, rule), "more")
+    shared.drop(likely, front)
     whole = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     # of more frequent shingles the members that are apart, in blocks
     many = shared.table(held.join(still.where(F.col("times") > FEW).select("sig", "least"), "sig").select("node", "c", "least").distinct(), "apart")
@@ -376,17 +382,32 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     return _answer(prints, last)
 
 
+def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    return pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+
+
+def _likely(pairs: DataFrame, front: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Those of different ``pairs (a, b)`` that may link by their sizes and by what they share at the front.
+
+    Of two sets, that whose front ends first shares no more with the other than
+    what the fronts share and all that it did not send.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    fit = _sized(pairs, sizes).where(rule.q * F.least(n_a, n_b) >= rule.p * F.greatest(n_a, n_b))
+    need = F.ceil((n_a + n_b) * rule.p / (rule.p + rule.q)) - F.greatest(n_a - rule.sent_by(n_a), n_b - rule.sent_by(n_b))
+    left, right = front.select("sig", F.col("node").alias("a")), front.select("sig", F.col("node").alias("b"))
+    shared_by = fit.select("a", "b").join(left, "a").join(right, ["b", "sig"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("front"))
+    return fit.withColumn("need", need).join(shared_by, ["a", "b"], "left").where(F.coalesce("front", F.lit(0)) >= F.col("need")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, grams: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Those of ``pairs (a, b)`` that link: overlaps by fragment, summed for each pair."""
+    """Those of different ``pairs (a, b)`` that link: overlaps by fragment, summed for each pair."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    grams = grams.join(needed, "node", "left_semi")
     left = grams.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = grams.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-
-    def sized(df: DataFrame) -> DataFrame:
-        return df.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-
-    likely = sized(pairs.distinct()).where(rule.q * F.least("n_a", "n_b") >= rule.p * F.greatest("n_a", "n_b")).select("a", "b")
-    partial = likely.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
-    summed = sized(partial.groupBy("a", "b").agg(F.sum("both").alias("both")))
+    partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
+    summed = _sized(partial.groupBy("a", "b").agg(F.sum("both").alias("both")), sizes)
     return summed.where(rule.q * F.col("both") >= rule.p * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
