@@ -6,17 +6,31 @@ frequent is counted over all documents, in a table of fixed size. Cut into
 ranges, the order gives every document its fragments; a comparison counts the
 overlap of each fragment separately and sums the counts of the pair.
 
-Only documents that meet at the front of the order are compared. A set of n
-shingles has ceil(p n / q) in common with any set that it links to, so the
-first n - ceil(p n / q) + s of each hold at least s common ones; those are
-sent, and s grows with n. Shingles that one set alone sent go, and so do sets
-that are left with fewer than they need. Of what is left a set keeps the
-rarest, so many that a pair with enough in common still meets in one.
+Only documents that share enough signatures are compared. Which ones are sent
+depends on the rule, never on the data:
+
+- Where linked sets differ in few shingles (up to a sixth of them), a set is cut
+  into F fragments. Two sets that link differ in at most
+  D = (n1 + n2)(q - p)/(q + p) shingles, so at least F - D fragments are equal in
+  both; each fragment is a signature. F follows from the size of the set: sizes
+  are cut into bands, and a set that can be similar to sets of the next band also
+  sends that band's signatures. F exceeds D by the signatures that a pair must
+  share at least, and by some empty fragments, which are not sent. Frequent
+  shingles have a fragment of their own, which is never sent; a document with
+  little but frequent shingles sends the fragments of the plain cut as well.
+- Where they may differ in more, fragments would be small and many. Then the
+  shingles at the front of the order are the signatures. A set of n shingles has
+  ceil(p n / q) in common with any set that it links to, so the first
+  n - ceil(p n / q) + s of each hold at least s common ones, and s grows with n.
+
+Signatures that one set alone sent go, and so do sets that are left with fewer
+than they need. Of what is left a set keeps the rarest, so many that a pair with
+enough in common still meets in one.
 
 Exact copies of a set are one node. Large groups are never expanded into all
-pairs: each shingle links its members to its least one, links that hold are
+pairs: each signature links its members to its least one, links that hold are
 contracted, and only members that are then still apart are compared, those of
-frequent shingles in blocks. A frequent shingle's members are dealt over many
+large signatures in blocks. A frequent shingle's members are dealt over many
 keys first.
 """
 
@@ -40,9 +54,11 @@ FREQUENT_SHARE = 0.001
 FREQUENT_LEAST = 8
 #: Members of the most frequent shingles are dealt over so many keys at most, as a power of 2.
 MOST_SALTS = 12
+#: Times that nodes with too few common shingles are taken out; more would only leave fewer to compare.
+ROUNDS = 2
 #: Up to so many nodes a table of bits tells tasks which documents' shingles are needed; more are joined.
 FILTER_NODES = 1 << 19
-#: Members of a shingle up to which its pairs across components are counted one by one; of larger ones they are counted in blocks.
+#: Members of a signature up to which its pairs across components are counted one by one; of larger ones they are counted in blocks.
 FEW = 32
 #: Ranges of the shingle order in which overlaps are counted.
 FRAGMENTS = 16
@@ -61,24 +77,58 @@ class Rule:
     p: int = 90
     q: int = 100
 
+    def by_fragments(self) -> bool:
+        """Whether signatures are fragments: linked sets differ in a sixth of their shingles at most."""
+        return 6 * (self.q - self.p) <= self.q
+
+    def bands(self) -> np.ndarray:
+        """Lower ends of the bands of set sizes, the same for every document."""
+        ends, x = [1], 1
+        while x < 1 << 36:
+            x = max(x + 1, -(-x * self.q**2 // self.p**2))
+            ends.append(x)
+        return np.array(ends, np.int64)
+
+    def differ(self, largest: np.ndarray) -> np.ndarray:
+        """Shingles in which linked sets of at most ``largest`` each differ at most."""
+        return 2 * largest * (self.q - self.p) // (self.q + self.p)
+
+    def shared(self, largest: np.ndarray) -> np.ndarray:
+        """Signatures that linked sets share at least."""
+        return 1 + self.differ(largest) // 12
+
+    def cuts(self, largest: np.ndarray) -> np.ndarray:
+        return -(-(self.differ(largest) + self.shared(largest) + 1) * 8 // 7)
+
+    def blanks(self, largest: np.ndarray) -> np.ndarray:
+        """Empty fragments that may be left out."""
+        return self.cuts(largest) - self.differ(largest) - self.shared(largest)
+
+    def needed(self, band: Column, n: Column) -> Column:
+        """Signatures of a band that a set of ``n`` shingles shares with any set that it links to.
+
+        Of the band's fragments those that differ go, as many as with the
+        largest such set, and the empty ones that are left out.
+        """
+        top = self.bands()[1:] - 1
+        kept = [int(x) for x in self.cuts(top) - self.blanks(top)]
+        other = F.least(F.floor(n * self.q / self.p), F.element_at(F.lit([int(x) for x in top]), band + 1))
+        return F.element_at(F.lit(kept), band + 1) - F.floor((n + other) * (self.q - self.p) / (self.q + self.p))
+
     def common(self, n: np.ndarray) -> np.ndarray:
         """Shingles that a set of ``n`` has in common at least with one that it links to."""
         return -(-n * self.p // self.q)
 
-    def shared(self, n: np.ndarray) -> np.ndarray:
+    def kept(self, n: np.ndarray) -> np.ndarray:
         """Of those, how many a set of ``n`` is to send at least."""
         return 1 + n * (self.q - self.p) // self.q // 2
 
     def sent(self, n: np.ndarray) -> np.ndarray:
         """Shingles that a set of ``n`` sends; none if it links to equal sets only."""
         alone = (self.common(n) == n) & (n * self.q // self.p == n)
-        return np.where(alone, 0, n - self.common(n) + self.shared(n))
-
-    def sent_by(self, n: Column) -> Column:
-        """As :meth:`sent` for sets that link to others."""
-        return n - F.ceil(n * self.p / self.q) + 1 + F.floor(F.floor(n * (self.q - self.p) / self.q) / 2)
+        return np.where(alone, 0, n - self.common(n) + self.kept(n))
 
-    def needed(self, n: Column) -> Column:
+    def needed_at_front(self, n: Column) -> Column:
         """Sent shingles that a set of ``n`` shares with any set that it links to: what the least of them shares."""
         least = F.ceil(n * self.p / self.q)
         return 1 + F.floor(F.floor(least * (self.q - self.p) / self.q) / 2)
@@ -132,6 +182,70 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (words.mix(h) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
 
+def _signatures(rule: Rule, frequent):
+    """``(sig, salt, node)`` for the fragments of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a set send it once a task
+        level = np.frombuffer(frequent.value, np.uint8)
+        ends = rule.bands()
+        for batch in batches:
+            for _, count, h, at, nodes in _sets(batch.column(0).to_pylist(), rule.k):
+                n = np.diff(at)
+                fresh = np.zeros(len(n), bool)
+                for i, node in enumerate(nodes.tolist()):
+                    if n[i] and node not in seen:
+                        seen.add(node)
+                        fresh[i] = True
+                if not fresh.any():
+                    continue
+                band = np.searchsorted(ends, n, side="right") - 1
+                owner = np.repeat(np.arange(count), n)
+                rare = level[_place(h)] == 0
+                out = []
+                for up in (0, 1):
+                    send = fresh & (band >= 0)
+                    if up:
+                        send &= rule.q * n >= rule.p * ends[band + 1]
+                    largest = ends[band + up + 1] - 1
+                    # sets that cannot differ at all are one node already
+                    send &= rule.differ(largest) > 0
+                    spare = rule.blanks(largest)
+                    cut = rule.cuts(largest)
+                    rows, blank = _fragments(h[rare], owner[rare], nodes, send, cut, band + up, 0, None)
+                    out.append(rows)
+                    out.append(_fragments(h, owner, nodes, send & (blank > spare), cut, band + up, 1, spare)[0])
+                sig, node = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.zeros(len(sig), np.int32)), pa.array(node)], ["sig", "salt", "node"])
+
+    return run
+
+
+def _fragments(h, owner, nodes, send, cut, band, family: int, spare) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """``(signatures, nodes)`` of the fragments that are not empty, and each document's number of empty ones.
+
+    With ``spare``, a document with more empty fragments than that sends them
+    too. A signature's lowest seven bits are its band.
+    """
+    count = len(send)
+    cuts = np.where(send, cut, 0)
+    keep = send[owner]
+    g, owner = h[keep], owner[keep]
+    place = ((g >> np.uint64(32)) * cut[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    # fragments of one document follow one another, as its shingles are in order
+    base = np.concatenate([[0], np.cumsum(cuts)])
+    bounds = np.searchsorted(base[owner] + place, np.arange(base[-1] + 1))
+    of = np.repeat(np.arange(count), cuts)
+    place = np.arange(base[-1]) - base[of]
+    filled = np.diff(bounds) > 0
+    blank = np.bincount(of, weights=~filled, minlength=count)
+    if spare is not None:
+        filled |= (blank > spare)[of]
+    sig = words.mix(_sums(words.mix(g), bounds) + words.mix(place.astype(np.uint64) * np.uint64(1 << 20) + (2 * band[of] + family).astype(np.uint64)))
+    sig = sig & ~np.uint64(127) | band[of].astype(np.uint64)
+    return (sig[filled].view(np.int64), nodes[of][filled].view(np.int64)), blank
+
+
 def _front(rule: Rule, frequent):
     """``(sig, salt, node)`` for the shingles at the front of each set; those of frequent places are dealt over ``salt``."""
 
@@ -315,24 +429,29 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     sent = docs.sparkSession.sparkContext.broadcast(_levels(often.toPandas(), documents))
     usable = source.where("doc_id is not null and text is not null")
 
-    # 1. Shingles at the front of each set, and their members.
-    rows = usable.select("text").mapInArrow(_front(rule, sent), "sig long, salt int, node long")
+    # 1. Signatures of each set, and their members.
+    cut = _signatures if rule.by_fragments() else _front
+    rows = usable.select("text").mapInArrow(cut(rule, sent), "sig long, salt int, node long")
     member = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "node").mapInArrow(_members, "sig long, node long")
     member = shared.table(member, "members")
-    # nodes with fewer than they need go; a node's rows are as many as it sent
-    each = Window.partitionBy("node")
-    spare = (F.count(F.lit(1)).over(each) - rule.needed(F.col("n"))).alias("spare")
-    left = member.join(sizes, "node").select("sig", "node", spare).where("spare >= 0")
-    front = shared.replace(member, left, "front")
-    often = front.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    # of a node's shingles those that it need not share suffice, and one more: the rarest
-    rarest = F.row_number().over(each.orderBy("times", "sig")).alias("place")
-    left = front.join(often, "sig").select("sig", "node", "spare", rarest).where("place <= spare + 1").select("sig", "node")
-    member = shared.table(left, "members")
+    # a link takes several common signatures, of one band if they are fragments: nodes with fewer go, and signatures of one node
+    band = F.col("sig").bitwiseAND(127).cast("int") if rule.by_fragments() else F.lit(0)
+    needed = rule.needed(F.col("band"), F.col("n")) if rule.by_fragments() else rule.needed_at_front(F.col("n"))
+    for _ in range(ROUNDS):
+        left = member.select("sig", "node", band.alias("band"))
+        enough = left.groupBy("node", "band").agg(F.count(F.lit(1)).alias("sigs")).join(sizes, "node").select("node", "band", (F.col("sigs") - needed).alias("spare")).where("spare >= 0")
+        left = left.join(enough, ["node", "band"])
+        left = left.join(left.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "sig")
+        member = shared.replace(member, left, "members")
+    # of a node's signatures those that it need not share suffice, and one more: the rarest
+    order = Window.partitionBy("node", "band").orderBy("times", "sig")
+    left = member.withColumn("place", F.row_number().over(order)).where("place <= spare + 1").select("sig", "node")
+    member = shared.replace(member, left, "members")
+    # what is one node's alone by now brings nobody together
     least = member.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("a")).where("times > 1").drop("times")
     member = shared.replace(member, member.join(least, "sig"), "members")
-    stars = shared.table(member.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
-    likely = shared.table(_likely(stars, front, sizes, rule), "likely")
+    stars = member.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = shared.table(stars, "stars")
 
     # 2. The shingles of the nodes that may be linked, from one document of each.
     nodes = shared.table(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
@@ -354,22 +473,20 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
 
     # 3. Stars that hold.
     sizes = grams.where("fragment = 0").select("node", "n")
-    links = shared.table(_verified(likely, grams, sizes, rule), "links")
+    links = shared.table(_verified(stars, grams, sizes, rule), "links")
     joined = components(links)
-    shared.drop(links, likely, stars)
+    shared.drop(links, stars)
 
-    # 4. Shingles whose members are still apart: their pairs across components.
+    # 4. Signatures whose members are still apart: their pairs across components.
     label = joined.select("node", "component")
     held = member.select("sig", "node").join(label, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     held = shared.replace(member, held, "held")
     still = held.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     few = held.join(still.where(F.col("times") <= FEW).select("sig"), "sig")
     pairs = few.select("sig", F.col("node").alias("a"), F.col("c").alias("c_a")).join(few.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b")), "sig").where("a < b and c_a <> c_b")
-    likely = shared.table(_likely(pairs.select("a", "b").distinct(), front, sizes, rule), "likely")
-    more = shared.table(_verified(likely, grams, sizes, rule), "more")
-    shared.drop(likely, front)
+    more = shared.table(_verified(pairs.select("a", "b"), grams, sizes, rule), "more")
     whole = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    # of more frequent shingles the members that are apart, in blocks
+    # of larger signatures the members that are apart, in blocks
     many = shared.table(held.join(still.where(F.col("times") > FEW).select("sig", "least"), "sig").select("node", "c", "least").distinct(), "apart")
     shared.drop(held)
     if not many.isEmpty():
@@ -382,37 +499,22 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_
     return _answer(prints, last)
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    return pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-
-
-def _likely(pairs: DataFrame, front: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Those of different ``pairs (a, b)`` that may link by their sizes and by what they share at the front.
-
-    Of two sets, that whose front ends first shares no more with the other than
-    what the fronts share and all that it did not send.
-    """
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    fit = _sized(pairs, sizes).where(rule.q * F.least(n_a, n_b) >= rule.p * F.greatest(n_a, n_b))
-    need = F.ceil((n_a + n_b) * rule.p / (rule.p + rule.q)) - F.greatest(n_a - rule.sent_by(n_a), n_b - rule.sent_by(n_b))
-    left, right = front.select("sig", F.col("node").alias("a")), front.select("sig", F.col("node").alias("b"))
-    shared_by = fit.select("a", "b").join(left, "a").join(right, ["b", "sig"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("front"))
-    return fit.withColumn("need", need).join(shared_by, ["a", "b"], "left").where(F.coalesce("front", F.lit(0)) >= F.col("need")).select("a", "b")
-
-
 def _verified(pairs: DataFrame, grams: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Those of different ``pairs (a, b)`` that link: overlaps by fragment, summed for each pair."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    grams = grams.join(needed, "node", "left_semi")
+    """Those of ``pairs (a, b)`` that link: overlaps by fragment, summed for each pair."""
     left = grams.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = grams.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
-    summed = _sized(partial.groupBy("a", "b").agg(F.sum("both").alias("both")), sizes)
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+
+    likely = sized(pairs.distinct()).where(rule.q * F.least("n_a", "n_b") >= rule.p * F.greatest("n_a", "n_b")).select("a", "b")
+    partial = likely.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("both"))
+    summed = sized(partial.groupBy("a", "b").agg(F.sum("both").alias("both")))
     return summed.where(rule.q * F.col("both") >= rule.p * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def _apart(many: DataFrame, grams: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """Links between components ``c`` of nodes that meet in a shingle, given with its least component."""
+    """Links between components ``c`` of nodes that meet in a signature, given with its least component."""
     groups = components(many.where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b")))
     member = many.select("node", F.col("c").alias("component")).distinct()
     member = member.join(groups.select(F.col("node").alias("component"), F.col("component").alias("group")), "component").join(sizes, "node")
