@@ -2,7 +2,9 @@
 
 The tokens of a labelled URL and its label make a basket. Spark's FP-growth
 finds the frequent sets of baskets; a set with the bad label and the same set
-without it give a rule and its confidence. Rules stay whose support is high
+without it give a rule and its confidence. A set of n tokens has 2^n subsets,
+so where baskets are longer than ``TOKENS`` sets are grown by a token at a time
+instead, without those that no rule can need: the rules are the same. Rules stay whose support is high
 enough and whose confidence is above the share of bad baskets even at its lower
 bound, without those that a shorter and no weaker rule implies. Rules match by
 an inverted index: each stands under its rarest token, so a URL looks only at
@@ -36,7 +38,7 @@ LEAST = 5
 #: A rule's confidence is so many times the share of bad baskets at least, and stays above that share if its pages are a sample of so many standard errors.
 LIFT = 1.2
 ERRORS = 2.326
-#: Of a longer URL so many tokens, the most frequent ones, take part in mining (a set of n tokens has 2^n subsets); all are matched.
+#: Tokens of a basket that FP-growth takes; where one has more, sets are grown from all of its tokens by :func:`grown`.
 TOKENS = 12
 BAD = "=block"
 #: Keys that pages with the same tokens are dealt over.
@@ -105,25 +107,85 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, lift: fl
     if not bad or bad == n:
         return none
     need = max(support * n, LEAST)
-    often = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    each = known.select("row", "bad", F.explode("tokens").alias("token")).join(often.where(F.col("times") >= need), "token")
-    # a page's tokens, the most frequent first, reach its basket by an aggregate that a URL's length bounds
-    order = F.sort_array(F.collect_list(F.struct("times", "token")), asc=False)
-    items = F.transform(F.slice(order, 1, TOKENS), lambda x: x["token"])
-    mined = each.groupBy("row", "bad").agg(items.alias("items")).select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
-    found = shared.table(FPGrowth(itemsCol="items", minSupport=min(need / n, 1.0), minConfidence=1.0).fit(mined).freqItemsets, "sets")
-    # as a string of sorted tokens a set meets itself without the label
-    key = F.array_join(F.array_sort(F.array_remove("items", BAD)), "\n")
-    marked = found.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(key.alias("rule"), F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("hits"))
-    plain = found.where(~F.array_contains("items", BAD)).select(key.alias("rule"), F.col("freq").alias("times"))
+    tallies = [F.count(F.lit(1)).alias("times"), F.count_if("bad").alias("hits"), *(F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"cover{k}") for k in (0, 1))]
+    often = shared.table(known.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(*tallies), "tokens")
+    # a rule's tokens are in enough bad baskets each; one of every basket tells nothing
+    usable = often.where((F.col("hits") >= need) & (F.col("times") < n))
+    each = known.select("row", "bad", F.explode("tokens").alias("token")).join(usable.select("token"), "token")
+    longest = each.groupBy("row").count().agg(F.max("count")).first()[0] or 0
+    found = (_frequent if longest <= TOKENS else grown)(each, usable, need, n)
     share, c = bad / n, F.col("hits") / F.col("times")
     # the score interval of a share, which also serves for few pages
     z2 = errors * errors
     bound = (c + z2 / (2 * F.col("times")) - errors * F.sqrt(c * (1 - c) / F.col("times") + z2 / (4 * F.col("times") * F.col("times")))) / (1 + z2 / F.col("times"))
-    rules = marked.join(plain, "rule").where((c >= lift * share) & (bound > share)).select("rule", "items", c.alias("confidence"))
+    rules = found.where((c >= lift * share) & (bound > share)).select("rule", "items", c.alias("confidence"))
+    kept = prune(shared.table(_anchored(rules, often), "rules"))
+    if longest > TOKENS:
+        kept = _anchored(_spelled(kept, usable), often)
+    return shared.table(kept, "pruned")
+
+
+def _key(items: Column) -> Column:
+    """A set as a string of its sorted tokens."""
+    return F.array_join(items, "\n")
+
+
+def _anchored(rules: DataFrame, often: DataFrame) -> DataFrame:
     least = rules.select("rule", F.explode("items").alias("token")).join(often, "token").groupBy("rule").agg(F.min_by("token", F.struct("times", "token")).alias("anchor"))
-    rules = shared.table(rules.join(least, "rule"), "rules")
-    return shared.table(prune(rules), "pruned")
+    return rules.join(least, "rule")
+
+
+def _frequent(each: DataFrame, usable: DataFrame, need: float, n: int) -> DataFrame:
+    """``(rule, items, times, hits)`` of the sets in at least ``need`` bad baskets, by FP-growth; ``each`` has a row for each token of a basket."""
+    mined = each.groupBy("row", "bad").agg(F.collect_list("token").alias("items")).select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+    found = shared.table(FPGrowth(itemsCol="items", minSupport=min(need / n, 1.0), minConfidence=1.0).fit(mined).freqItemsets, "sets")
+    # a set meets itself without the label
+    items = F.array_sort(F.array_remove("items", BAD))
+    marked = found.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(_key(items).alias("rule"), items.alias("items"), F.col("freq").alias("hits"))
+    plain = found.where(~F.array_contains("items", BAD)).select(_key(items).alias("rule"), F.col("freq").alias("times"))
+    return marked.join(plain, "rule").where(F.col("hits") >= need)
+
+
+def grown(each: DataFrame, usable: DataFrame, need: float, n: int) -> DataFrame:
+    """As :func:`_frequent`, without sets that a smaller one of the same or greater confidence implies for certain.
+
+    Tokens of the same baskets count as one, the least (told by a 128-bit hash
+    of their baskets). A set in as many baskets as one of its subsets is in the
+    same ones, so neither it nor a set that holds it is needed; nor is a set
+    that holds one of bad baskets only. Sets of k + 1 tokens come from two of k
+    that differ in the last, within each distinct basket.
+    """
+    heads = usable.groupBy("times", "hits", "cover0", "cover1").agg(F.min("token").alias("token"))
+    whole = each.join(heads.select("token"), "token").groupBy("row", "bad").agg(F.array_sort(F.collect_list("token")).alias("basket"))
+    whole = shared.table(whole.groupBy("basket").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")), "distinct")
+    level = heads.select(F.array("token").alias("items"), "times", "hits")
+    found, size = level, 1
+    # a set that is in bad baskets only is not grown
+    level = shared.table(level.where("hits < times"), "level")
+    held = whole.select("basket", "n", "bad", F.explode("basket").alias("token")).select("basket", "n", "bad", F.array("token").alias("items")).join(level.select("items"), "items", "left_semi")
+    held = shared.table(held, "held")
+    while not level.isEmpty():
+        head, last = F.slice("items", 1, size - 1), F.element_at("items", -1)
+        left, right = held.select("basket", "n", "bad", head.alias("head"), last.alias("x")), held.select("basket", head.alias("head"), last.alias("y"))
+        pairs = left.join(right, ["basket", "head"]).where("x < y").select("basket", "n", "bad", F.concat("head", F.array("x", "y")).alias("items"))
+        sets = shared.table(pairs.groupBy("items").agg(F.sum("n").alias("times"), F.sum("bad").alias("hits")).where(F.col("hits") >= need), "counted")
+        parts = sets.select("items", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part"))
+        below = parts.join(level.select(F.col("items").alias("part"), F.col("times").alias("wider")), "part").groupBy("items").agg(F.count(F.lit(1)).alias("parts"), F.min("wider").alias("wider"))
+        size += 1
+        sets = shared.table(sets.join(below, "items").where((F.col("parts") == size) & (F.col("wider") > F.col("times"))).select("items", "times", "hits"), "level")
+        found, level = found.unionByName(sets), sets.where("hits < times")
+        held = shared.replace(held, pairs.join(level.select("items"), "items", "left_semi").select(*held.columns), "held")
+    return found.select(_key(F.col("items")).alias("rule"), "items", "times", "hits")
+
+
+def _spelled(rules: DataFrame, usable: DataFrame) -> DataFrame:
+    """Rules of tokens that stand for others, with each of those in their place."""
+    same = usable.groupBy("times", "hits", "cover0", "cover1").agg(F.min("token").alias("token"), F.collect_list("token").alias("same"))
+    each = rules.select("rule", "confidence", F.explode("items").alias("token")).join(same.select("token", "same"), "token")
+    each = each.groupBy("rule", "confidence").agg(F.collect_list("same").alias("choices"))
+    one = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda acc, x: F.flatten(F.transform(acc, lambda a: F.transform(x, lambda t: F.array_append(a, t)))))
+    items = each.select("confidence", F.explode(one).alias("items")).select("confidence", F.array_sort("items").alias("items"))
+    return items.select(_key(F.col("items")).alias("rule"), "items", "confidence")
 
 
 def prune(rules: DataFrame) -> DataFrame:
